@@ -257,12 +257,16 @@ e AS (SELECT *, {encode('w', 'code')} AS e FROM w)
 SELECT doc_id, n_chars, code, len(w)::INTEGER AS n_words, len(w) > 126 AS was_truncated,
   len(e)::INTEGER AS n_encoded, md5({decode('e')}) AS decoded_md5 FROM e"""
 
-ENCODED = f"""w AS (SELECT * EXCLUDE (source, target), {code('lang')} AS code, {words('source')} AS s,
-  {words('target')} AS t FROM {{source}}),
+
+
+def encoded(source: str) -> str:
+    return f"""w AS (SELECT * EXCLUDE (source, target), {code('lang')} AS code, {words('source')} AS s,
+  {words('target')} AS t FROM {source}),
 enc AS (SELECT * EXCLUDE (s, t), {encode('s', 'code')} AS inp, {encode('t', 'code')} AS lab,
   len(s) > 126 AS it, len(t) > 126 AS lt FROM w)"""
 
-ORACLE["tokenized_pairs"] = f"""WITH {LINES}, {ENCODED.format(source='line_pairs')}
+
+ORACLE["tokenized_pairs"] = f"""WITH {LINES}, {encoded('line_pairs')}
 SELECT pair_id, it AS input_truncated, lt AS label_truncated, len(inp)::INTEGER AS n_input,
   len(lab)::INTEGER AS n_label, md5(array_to_string(inp, ' ')) AS input_md5,
   md5(array_to_string(lab, ' ')) AS label_md5 FROM enc"""
@@ -272,7 +276,7 @@ SELECT pair_id, it AS input_truncated, lt AS label_truncated, len(inp)::INTEGER
 ORACLE["batches"] = f"""WITH {DOCS}
 SELECT doc_id, split, ((rk - 1) // 8)::BIGINT AS batch_id, ((rk - 1) % 8)::BIGINT AS place FROM docs"""
 
-BATCHED = f"""{CORPUS}, {ENCODED.format(source='corpus')},
+BATCHED = f"""{CORPUS}, {encoded('corpus')},
 bat AS (SELECT *, ((rk - 1) // 8)::BIGINT AS batch_id FROM enc)"""
 
 ORACLE["padded_batches"] = f"""WITH {BATCHED},
