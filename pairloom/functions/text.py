@@ -79,10 +79,9 @@ def tokens_13a(c: Column) -> Column:
     return words(out)
 
 
-def characters(c: Column) -> Column:
-    """Code points of the text with white space removed."""
-    bare = F.regexp_replace(text_or_empty(c), SPACE, "")
-    return F.array_remove(F.split(bare, ""), "")
+def without_space(c: Column) -> Column:
+    """The text with all white space removed."""
+    return F.regexp_replace(text_or_empty(c), SPACE, "")
 
 
 def language_code(lang: Column) -> Column:

@@ -1,10 +1,11 @@
 """Corpus BLEU and chrF, per segment, per slice and per evaluation.
 
-One plan serves all of them. Texts are spread by segment id once; every later
-grouping up to the segment contains that id, so n-grams are exploded, counted
-and matched inside the task that holds the text, without a shuffle of n-grams,
-and only one small row per segment leaves it. Equal (prediction, reference)
-texts of a segment that occur in several evaluations (a sweep) are counted once.
+One plan serves all of them. Texts are spread by segment id once, n-grams are
+matched inside the task that holds the text, and only one small row of integers
+per segment leaves it; corpus scores are sums of those. Equal (prediction,
+reference) texts of a segment that occur in several evaluations (a sweep) are
+counted once. With several references per segment n-grams become rows, grouped
+by keys that contain the segment id and so without another shuffle.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pairloom.functions.text import characters, strip, text_or_empty, tokens_13a
+from pairloom.functions.text import strip, text_or_empty, tokens_13a, without_space
+from pairloom.operators.ngrams import stats_batches
 
 WORD_ORDERS = 4  # BLEU n-grams
 CHAR_ORDERS = 6  # chrF n-grams
@@ -60,39 +62,16 @@ def _several(df: DataFrame) -> bool:
     return dict(df.dtypes)["reference"].startswith("array")
 
 
-def _unit_rows(texts: DataFrame, keys: list[str], words: bool, chars: bool) -> DataFrame:
-    """Rows (keys, kind, side, units): side 0 is the prediction."""
-    columns, sides = [], []
-
-    def side(kind: str, number: int, name: str, units: Column) -> None:
-        columns.append(units.alias(name))
-        sides.append(
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(number).alias("side"),
-                F.col(name).alias("units"),
-            )
-        )
-
-    for number, text in enumerate(("prediction", "reference")):
-        if words:
-            side("w", number, f"words_{number}", tokens_13a(F.col(text)))
-        if chars:
-            side("c", number, f"chars_{number}", characters(F.col(text)))
-    return texts.select(*keys, *columns).select(*keys, F.inline(F.array(*sides)))
-
-
 def _unit_rows_several(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Word rows for several references, sides numbered from 1."""
+    """Word rows: side 0 is the prediction, references are numbered from 1."""
     both = F.concat(F.array("prediction"), F.col("reference"))
     return texts.select(*keys, F.posexplode(both).alias("side", "text")).select(
-        *keys, F.lit("w").alias("kind"), "side", tokens_13a(F.col("text")).alias("units")
+        *keys, "side", tokens_13a(F.col("text")).alias("units")
     )
 
 
 def _gram_rows(units: DataFrame, keys: list[str]) -> DataFrame:
-    """All n-grams of every unit row; the outer form keeps empty texts."""
-    orders = F.when(F.col("kind") == "w", WORD_ORDERS).otherwise(CHAR_ORDERS)
+    """All word n-grams of every row; the outer form keeps empty texts."""
     size = F.size("units")
     starts = units.select(
         "*",
@@ -103,16 +82,56 @@ def _gram_rows(units: DataFrame, keys: list[str]) -> DataFrame:
         F.explode_outer(
             F.when(
                 F.col("at").isNotNull(),
-                F.sequence(F.lit(1), F.least(orders, size - F.col("at") + 1)),
+                F.sequence(F.lit(1), F.least(F.lit(WORD_ORDERS), size - F.col("at") + 1)),
             )
         ).alias("n"),
     )
     return spans.select(
-        *keys,
-        "kind",
-        "side",
-        "n",
-        F.expr("array_join(slice(units, at, n), if(kind = 'w', ' ', ''))").alias("gram"),
+        *keys, "side", "n", F.array_join(F.slice("units", F.col("at"), F.col("n")), " ").alias("gram")
+    )
+
+
+def _stats_single(texts: DataFrame, keys: list[str], words: bool, chars: bool) -> DataFrame:
+    columns, sides = [], []
+    if words:
+        columns += [tokens_13a(F.col("prediction")).alias("pw"), tokens_13a(F.col("reference")).alias("rw")]
+        sides.append(("word", "pw", "rw", WORD_ORDERS))
+    if chars:
+        columns += [without_space(F.col("prediction")).alias("pc"), without_space(F.col("reference")).alias("rc")]
+        sides.append(("char", "pc", "rc", CHAR_ORDERS))
+    rows = texts.select(*keys, *columns)
+    schema = T.StructType([rows.schema[k] for k in keys])
+    for name, _, _, orders in sides:
+        for c in (f"pred_{name}s", f"ref_{name}s", *(f"{name}_match_{n + 1}" for n in range(orders))):
+            schema = schema.add(c, T.LongType())
+    return rows.mapInArrow(lambda batches: stats_batches(batches, keys, sides), schema)
+
+
+def _stats_several(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Word statistics against the best count over all references of a segment."""
+    shortest = F.array_min(F.transform("reference", lambda t: F.size(tokens_13a(t))))
+    keys = [*keys, "shortest"]
+    side, n = F.col("side"), F.col("n")
+    per_side = (
+        _gram_rows(_unit_rows_several(texts.withColumn("shortest", shortest), keys), keys)
+        .groupBy(*keys, "n", "gram", "side")
+        .agg(F.count("gram").alias("k"))
+    )
+    counted = per_side.groupBy(*keys, "n", "gram").agg(
+        F.sum(F.when(side == 0, F.col("k")).otherwise(0)).alias("p"),
+        F.max(F.when(side > 0, F.col("k")).otherwise(0)).alias("r"),
+    )
+    return (
+        counted.groupBy(*keys)
+        .agg(
+            F.sum(F.when(n == 1, F.col("p")).otherwise(0)).alias("pred_words"),
+            *[
+                F.sum(F.when(n == i, F.least("p", "r")).otherwise(0)).alias(f"word_match_{i}")
+                for i in range(1, WORD_ORDERS + 1)
+            ],
+        )
+        .withColumn("ref_words", F.col("shortest").cast("long"))
+        .drop("shortest")
     )
 
 
@@ -134,50 +153,14 @@ def segment_stats(
         raise ValueError("chrF takes one reference per segment")
     texts = _texts(df, by, strip_text)
     keys = ["pair_id", *(["evals"] if by else [])]
-    side = F.col("side")
-    some = F.col("gram").isNotNull()
-    if several:
-        shortest = F.array_min(F.transform("reference", lambda t: F.size(tokens_13a(t))))
-        texts = texts.withColumn("shortest", shortest)
-        keys = [*keys, "shortest"]
-        per_side = (
-            _gram_rows(_unit_rows_several(texts, keys), keys)
-            .groupBy(*keys, "kind", "n", "gram", "side")
-            .agg(F.count_if(some).alias("k"))
-        )
-        counted = per_side.groupBy(*keys, "kind", "n", "gram").agg(
-            F.sum(F.when(side == 0, F.col("k")).otherwise(0)).alias("p"),
-            F.max(F.when(side > 0, F.col("k")).otherwise(0)).alias("r"),
-        )
-    else:
-        counted = (
-            _gram_rows(_unit_rows(texts, keys, words, chars), keys)
-            .groupBy(*keys, "kind", "n", "gram")
-            .agg(
-                F.count_if(some & (side == 0)).alias("p"),
-                F.count_if(some & (side == 1)).alias("r"),
-            )
-        )
-
-    def summed(value: Column, kind: str, n: int) -> Column:
-        return F.sum(
-            F.when((F.col("kind") == kind) & (F.col("n") == n), value).otherwise(0)
-        )
-
-    p, r = F.col("p"), F.col("r")
-    stats = counted.groupBy(*keys).agg(
-        summed(p, "w", 1).alias("pred_words"),
-        summed(r, "w", 1).alias("ref_words"),
-        summed(p, "c", 1).alias("pred_chars"),
-        summed(r, "c", 1).alias("ref_chars"),
-        *[
-            summed(F.least(p, r), kind, n).alias(f"{name}_match_{n}")
-            for kind, name, upto in (("w", "word", WORD_ORDERS), ("c", "char", CHAR_ORDERS))
-            for n in range(1, upto + 1)
-        ],
+    stats = (
+        _stats_several(texts, keys) if several else _stats_single(texts, keys, words, chars)
     )
-    if several:
-        stats = stats.withColumn("ref_words", F.col("shortest").cast("long")).drop("shortest")
+    for name, wanted, orders in (("word", words, WORD_ORDERS), ("char", chars, CHAR_ORDERS)):
+        if not wanted:
+            absent = [f"pred_{name}s", f"ref_{name}s"]
+            absent += [f"{name}_match_{n}" for n in range(1, orders + 1)]
+            stats = stats.withColumns({c: F.lit(0).cast("long") for c in absent})
     if not by:
         return stats
     one = stats.withColumn("eval", F.explode("evals")).drop("evals")
