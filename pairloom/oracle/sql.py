@@ -506,7 +506,7 @@ SELECT optimal_size, recommended_size, (SELECT string_agg(printf('%d %.9f %.9f %
 
 _SETTINGS = ", ".join(
     f"({i + 1}, {n}, {b}::DOUBLE, {f}::DOUBLE)"
-    for i, (n, b, f) in enumerate(product((1, 2, 3), (0.5, 1.0, 2.0), (0.3, 0.5, 0.7)))
+    for i, (n, b, f) in enumerate(product((1, 2, 3), (0.5, 1.0, 2.0), (0.6, 0.75, 0.9)))
 )
 
 ORACLE["param_sweep"] = f"""WITH {CORPUS}, {overlaps("split = 'val'", (1, 2, 3))},
