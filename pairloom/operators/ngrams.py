@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_UNITS = 2_000_000
+SLICE_UNITS = 500_000
 
 
 def _codes_of_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +31,7 @@ def _codes_of_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
     values, ids = np.unique(keys, return_inverse=True)
-    return ids.astype(np.int64), len(values)
+    return ids.astype(np.int64, copy=False), len(values)
 
 
 def _matches(
