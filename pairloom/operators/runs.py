@@ -21,6 +21,8 @@ from pairloom.sources.runs import (
 )
 
 NEAR_BEST = 0.95
+# Fixed value: folder of a grid run, by rank, alpha and dropout.
+RUN_FOLDER = "experiments/param_r%d_a%d_d%s"
 # Lowest best score with which a phase lets the next one start.
 PHASE_GATES = {"1": 0.15, "2": None, "3": None}
 DIGITS = 9
@@ -212,8 +214,7 @@ def param_grid(spark: SparkSession, ranks=RANKS, alphas=ALPHAS, dropouts=DROPOUT
         .select("r", "alpha", options(dropouts).alias("dropout"))
         .select(
             seq.alias("setting"), "r", "alpha", "dropout",
-            F.format_string("experiments/param_r%d_a%d_d%s", "r", "alpha",
-                            F.col("dropout").cast("string")).alias("folder"),
+            F.format_string(RUN_FOLDER, "r", "alpha", F.col("dropout").cast("string")).alias("folder"),
         )
     )
 

@@ -18,6 +18,9 @@ SMALLEST_SIZE = 500
 FAILED_SCORE = 0.0
 FAILED_LOSS = 999.0
 
+# Patterns of the run folders and the schemas of run documents.
+SIZE_FOLDER = r"data_size_(\d+)"
+CHECKPOINT_FOLDER = r"checkpoint-(\d+)"
 SIZE_RUN_SCHEMA = "data_size int, bleu double, chrf double, loss double, failed boolean"
 GRID_RUN_SCHEMA = (
     "r int, alpha int, dropout double, bleu double, chrf double, loss double, failed boolean"
@@ -179,8 +182,8 @@ def read_run_folders(spark: SparkSession, root: str) -> DataFrame:
     ).drop("log_history")
     return (
         logged.join(adapter, "folder", "left")
-        .withColumn("data_size", F.regexp_extract("folder", r"data_size_(\d+)", 1).cast("long"))
-        .withColumn("checkpoint", F.regexp_extract("folder", r"checkpoint-(\d+)", 1).cast("long"))
+        .withColumn("data_size", F.regexp_extract("folder", SIZE_FOLDER, 1).cast("long"))
+        .withColumn("checkpoint", F.regexp_extract("folder", CHECKPOINT_FOLDER, 1).cast("long"))
         .select("*", F.col("log.step").alias("log_step"), F.col("log.loss").alias("log_loss"),
                 F.col("log.learning_rate").alias("log_learning_rate"))
         .drop("log")
