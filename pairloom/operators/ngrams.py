@@ -1,7 +1,7 @@
 """N-gram matches of text pairs, counted batch-wise with numpy inside tasks.
 
-Measured against exploding n-grams into rows and grouping them: same numbers, a
-tenth of the time, and no n-gram ever becomes a row. Spark spreads the texts and
+Measured against exploding n-grams into rows and grouping them: same numbers in
+about a quarter of the time, and no n-gram ever becomes a row. Spark spreads the texts and
 sums the results; this helper sees one Arrow batch at a time and works through
 it in slices of bounded size, so memory does not depend on the batch.
 """
