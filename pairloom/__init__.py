@@ -1 +1,8 @@
-"""Data side of text-pair experiments as Spark DataFrame plans."""
+"""Corpus experiment analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel by value, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
