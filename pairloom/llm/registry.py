@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.token_counts import count_tokens
 from pairloom.session import table
 
@@ -23,3 +24,8 @@ def query(function):
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary, limit=1024)
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(plan_mix(table(spark, sf_dir, "documents")))
