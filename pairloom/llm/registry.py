@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.mixing import plan_mix, taken_words
+from pairloom.llm.pii import find_pii, pii_digest
 from pairloom.llm.token_counts import count_tokens
 from pairloom.session import table
 
@@ -29,3 +30,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(plan_mix(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
