@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
 from pairloom.llm.token_counts import count_tokens
+from pairloom.llm.warc import read_bundles, write_bundles
 from pairloom.session import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,30 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = write_bundles(table(spark, sf_dir, "pages"))
+    return read_bundles(bundles, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+LLM_ORACLE["op7_warc"] = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS body FROM pages
+), hashed AS (
+    SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+           sha256(body) AS payload_digest
+    FROM payloads
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id
+            THEN first_id END AS refers_to
+FROM firsts
+"""
