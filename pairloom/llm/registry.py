@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
+from pairloom.llm.quality import fold, score_documents, train_classifier
 from pairloom.llm.token_counts import count_tokens
 from pairloom.llm.warc import read_bundles, write_bundles
 from pairloom.session import table
@@ -63,3 +64,12 @@ SELECT page_id, payload_bytes, payload_digest,
             THEN first_id END AS refers_to
 FROM firsts
 """
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_classifier(docs, table(spark, sf_dir, "labels"), folds=5, held=0)
+    scored = score_documents(docs, model, threshold=0.3, keep=("doc_id",))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
