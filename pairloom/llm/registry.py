@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
 from pairloom.llm.quality import fold, score_documents, train_classifier
@@ -73,3 +74,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(docs, model, threshold=0.3, keep=("doc_id",))
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicates(docs, least=0.8).select("doc_id", "class_id", "kept")
