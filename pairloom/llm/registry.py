@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairloom.llm.decontaminate import contamination
 from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
@@ -80,3 +81,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs, least=0.8).select("doc_id", "class_id", "kept")
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contamination(docs, items, least=0.8)
