@@ -273,3 +273,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) ->
         items.alias("items"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
     )
+
+
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, columns: tuple[str, ...] = ()
+) -> DataFrame:
+    """The ``columns`` of the rows of ``docs`` that match no item of the benchmark."""
+    found = benchmark_matches(docs, benchmark, least).select("doc_id", "node").distinct()
+    found = materialize(found.toDF("_id", "_found"), "flags")
+    rows = docs.select(*columns, node_of(F.col("text")).alias("_node"))
+    same = (F.col("_node") == F.col("_found")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    return rows.join(found, same, "left_anti").select(*columns)

@@ -320,22 +320,44 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, node, class_id, kept.
 
     Documents are linked from a weighted Jaccard similarity of five-word shingles of ``least``
-    on; a class is a connected component, ``class_id`` its smallest doc_id, and ``kept`` says
-    that the row has that id. Texts of one to four words have one shingle of all of them; texts
-    without words, and null texts, are classes by equal text only. Case of A-Z is folded. Null
-    ids are never a class id unless the class has no other; repeated rows stay, with the same
-    result. Other columns are left out; an empty table gives an empty result.
+    on; a class is a connected component and ``class_id`` its smallest doc_id. ``kept`` marks
+    the row with that id, and of several texts with that id the one with the smallest node; only
+    rows that repeat both are all marked. Texts of one to four words have one shingle of all of
+    them; texts without words, and null texts, are classes by equal text only. Case of A-Z is
+    folded. Null ids are a class id only where the class has no other. Other columns are left
+    out; an empty table gives an empty result.
     """
     signed = materialize(signed_documents(docs), "signed")
     roots = components(near_links(docs, signed, least))
-    rows = signed.select("doc_id", "node")
-    named = rows.join(roots, "node", "left").select(
-        "doc_id", "node", F.coalesce("root", "node").alias("root")
+    named = (
+        signed.select("doc_id", "node")
+        .join(roots, "node", "left")
+        .select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     )
-    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    classes = named.groupBy("root").agg(F.min(order).alias("first"))
     return named.join(classes, "root").select(
         "doc_id",
         "node",
-        "class_id",
-        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
+        F.col("first.doc_id").alias("class_id"),
+        (
+            F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+        ).alias("kept"),
+    )
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The ``columns`` of the kept rows of ``docs``; of rows that repeat id and text, one."""
+    kept = (
+        near_duplicates(docs, least)
+        .where("kept")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_kept"))
+        .agg(F.count("*").alias("_rows"))
+    )
+    rows = docs.select(*columns, node_of(F.col("text")).alias("_node"))
+    same = (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    found = rows.join(kept, same)
+    once = found.where("_rows = 1").select(*columns)
+    return once.union(
+        found.where("_rows > 1").dropDuplicates(["_node", "_id"]).select(*columns)
     )

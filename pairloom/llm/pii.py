@@ -202,19 +202,15 @@ def _matches(docs: DataFrame, kind: Kind, text: str) -> DataFrame:
     )
 
 
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, text, base (array of spans), spans (base and added spans).
+def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """Per document: the columns ``keep``, base (array of spans), spans (base and added spans).
 
-    A span is struct<kind, start, end, score>. Kinds come in the order of KINDS, spans of a kind
+    Spans are those of column text. A span is struct<kind, start, end, score>. Kinds come in the order of KINDS, spans of a kind
     by start. An added span that overlaps a base span, or an added one of an earlier kind, is
     left out. A null text counts as empty and stays null; ids are not looked at, so null and
     repeated ids keep their rows; other columns are left out.
     """
-    out = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(text).alias("text"),
-        F.coalesce(text, F.lit("")).alias("_text"),
-    )
+    out = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     for kind in KINDS:
         out = _matches(out, kind, "_text")
     out = out.withColumn("base", F.concat(*[k.name for k in KINDS if k.base]))
@@ -231,7 +227,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 "spans",
                 F.when(F.size(kind.name) > 0, F.concat("spans", free)).otherwise(F.col("spans")),
             )
-    return out.select("doc_id", "text", "base", "spans")
+    return out.select(*keep, "base", "spans")
 
 
 def shown(spans: Column) -> Column:

@@ -256,22 +256,22 @@ def score_documents(
     of its (zero) features. Without a model (no positives or no unlabelled rows) every score is
     0.5. Input columns not named in ``keep`` are left out; repeated rows stay.
     """
+    chosen = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    names = [*keep, "score"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, "_scored_text"):
+            for part in kernels.slices(batch, "text"):
                 if model is None:
                     score = np.full(part.num_rows, 0.5)
                 else:
-                    bytes_at = kernels.text_bytes(part.column("_scored_text"))
+                    bytes_at = kernels.text_bytes(part.column("text"))
                     score = _sigmoid(model.logits(text_features(*bytes_at)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(score)], [*part.schema.names[:-1], "score"]
+                    [*part.columns[: len(keep)], pa.array(score)], names
                 )
 
-    chosen = docs.select(*keep, F.col("text").alias("_scored_text"))
-    fields = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]
-    )
-    out = chosen.mapInArrow(scored, f"{fields}, score double" if fields else "score double")
+    kept = chosen.select(*keep).schema if keep else None
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields] if kept else []
+    out = chosen.mapInArrow(scored, ", ".join([*fields, "score double"]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
