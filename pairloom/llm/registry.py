@@ -14,6 +14,7 @@ from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
 from pairloom.llm.quality import fold, score_documents, train_classifier
 from pairloom.llm.token_counts import count_tokens
+from pairloom.llm.vector_join import vector_links
 from pairloom.llm.warc import read_bundles, write_bundles
 from pairloom.session import table
 
@@ -93,3 +94,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"), least=0.98)
