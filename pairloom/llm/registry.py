@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from pairloom.llm.decontaminate import contamination
+from pairloom.llm.language_model import score_texts
 from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
@@ -99,3 +100,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), folds=7, held=2)
