@@ -25,11 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm import kernels
+from pairloom.llm.chunks import (
+    bucket_count,
+    bucket_ends,
+    by_chunk,
+    chunk_bytes,
+    pack,
+    pack_sorted,
+    spare_bits,
+    text_chunks,
+    unpack,
+    unpack_sorted,
+    without_bits,
+)
 from pairloom.session import materialize
 
 CHUNK_BYTES = 4 << 20
@@ -40,26 +51,6 @@ BEGIN = np.uint64(0x517CC1B727220A95)
 END = np.uint64(0x2545F4914F6CDD1D)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of all, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending keys as their differences."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(packed: bytes) -> np.ndarray:
-    return np.cumsum(unpack(packed), dtype=np.uint64)
-
-
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, their histories, and the text of each token."""
     words, of_text = kernels.word_hashes(data, at)
@@ -79,78 +70,18 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def bigrams(token: np.ndarray, history: np.ndarray, drop_bits: int) -> np.ndarray:
     """Hashes of history and token, without their lowest bits."""
     mixed = kernels.mix(history * np.uint64(0x9E3779B97F4A7C15) + token)
-    return mixed >> np.uint64(drop_bits) << np.uint64(drop_bits)
-
-
-def kept_bits(buckets: int) -> int:
-    """Low bits of a bigram's hash to leave out: 44 bits stay to tell a bucket's bigrams apart."""
-    return max(0, 64 - 44 - int(np.ceil(np.log2(max(buckets, 1)))))
-
-
-def bucket_ends(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of values ends among the sorted keys."""
-    edges = [(i << 64) // buckets for i in range(1, buckets)]
-    inner = np.searchsorted(keys, np.array(edges, np.uint64), "left")
-    return np.concatenate([inner, [len(keys)]])
-
-
-def chunked(docs: DataFrame, learns) -> DataFrame:
-    """Stored chunks of texts: chunk, doc_ids, learns, sizes, packed text bytes."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for piece in kernels.slices(batch, "text", CHUNK_BYTES):
-                data, at = kernels.text_bytes(piece.column("text"))
-                row = {
-                    "chunk": (part << 32) + made,
-                    "doc_ids": piece.column("doc_id").to_pylist(),
-                    "learns": piece.column("learns").to_pylist(),
-                    "sizes": np.diff(at).tolist(),
-                    "data": zstandard.ZstdCompressor(level=3).compress(data.tobytes()),
-                    "n_bytes": len(data),
-                }
-                made += 1
-                yield pa.RecordBatch.from_pylist([row], schema)
-
-    schema = pa.schema(
-        [
-            ("chunk", pa.int64()),
-            ("doc_ids", pa.list_(pa.int64())),
-            ("learns", pa.list_(pa.bool_())),
-            ("sizes", pa.list_(pa.int64())),
-            ("data", pa.binary()),
-            ("n_bytes", pa.int64()),
-        ]
-    )
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), learns.alias("learns"), "text"
-    )
-    return materialize(
-        rows.mapInArrow(
-            packed,
-            "chunk long, doc_ids array<long>, learns array<boolean>, sizes array<long>, "
-            "data binary, n_bytes long",
-        ),
-        "chunks",
-    )
-
-
-def chunk_tokens(data: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data) if data else b""
-    at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-    return tokens(np.frombuffer(raw, np.uint8), at)
+    return without_bits(mixed, drop_bits)
 
 
 def requests(chunks: DataFrame, buckets: int) -> DataFrame:
     """bucket, chunk, words, word_counts, pairs, pair_counts: counts of the learning texts."""
-    low_bits = kept_bits(buckets)
+    low_bits = spare_bits(buckets)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                token, history, text = chunk_tokens(row["data"], row["sizes"])
-                learn = np.array(row["learns"], float)[text]
+                token, history, text = tokens(*chunk_bytes(row["data"], row["sizes"]))
+                learn = np.array(row["marks"], float)[text]
                 sides = []
                 for keys in (token, bigrams(token, history, low_bits)):
                     distinct, which = np.unique(keys, return_inverse=True)
@@ -172,7 +103,7 @@ def requests(chunks: DataFrame, buckets: int) -> DataFrame:
                     ["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts"],
                 )
 
-    return chunks.select("chunk", "learns", "sizes", "data").mapInArrow(
+    return chunks.select("chunk", "marks", "sizes", "data").mapInArrow(
         asked,
         "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary",
     )
@@ -271,13 +202,13 @@ def traverse(
 
 
 def _scored(chunks: DataFrame, answered: DataFrame, buckets: int, smoothing: Smoothing) -> DataFrame:
-    low_bits = kept_bits(buckets)
+    low_bits = spare_bits(buckets)
     base_total = smoothing.tokens + smoothing.words + 1
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                token, history, text = chunk_tokens(row["data"], row["sizes"])
+                token, history, text = tokens(*chunk_bytes(row["data"], row["sizes"]))
                 found = sorted(row["answers"], key=lambda a: a["bucket"])
                 totals = [
                     np.concatenate([unpack(a[c]) for a in found]).astype(np.float64)
@@ -294,7 +225,7 @@ def _scored(chunks: DataFrame, answered: DataFrame, buckets: int, smoothing: Smo
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
-                        pa.array([not x for x in row["learns"]], pa.bool_()),
+                        pa.array([not x for x in row["marks"]], pa.bool_()),
                         pa.array(np.bincount(text, minlength=n)),
                         pa.array(per_text(count > 0).astype(np.int64)),
                         pa.array(np.full(n, int(smoothing.tokens))),
@@ -304,13 +235,9 @@ def _scored(chunks: DataFrame, answered: DataFrame, buckets: int, smoothing: Smo
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    per_chunk = (
-        answered.where("chunk IS NOT NULL")
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("bucket", "word_counts", "pair_counts")).alias("answers"))
-    )
+    per_chunk = by_chunk(answered, ["word_counts", "pair_counts"])
     return (
-        chunks.select("chunk", "doc_ids", "learns", "sizes", "data")
+        chunks.select("chunk", "doc_ids", "marks", "sizes", "data")
         .join(per_chunk, "chunk")
         .mapInArrow(
             scored,
@@ -331,9 +258,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     possible and every score is 0.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    chunks = chunked(docs, F.coalesce(remainder != held, F.lit(True)))
-    n_bytes = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-n_bytes // BUCKET_BYTES))
+    chunks = text_chunks(docs, CHUNK_BYTES, F.coalesce(remainder != held, F.lit(True)))
+    buckets = bucket_count(chunks, BUCKET_BYTES)
     answered = materialize(answers(requests(chunks, buckets)), "answers")
     stats = (
         answered.where("stats IS NOT NULL")
