@@ -14,6 +14,7 @@ from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
 from pairloom.llm.quality import fold, score_documents, train_classifier
+from pairloom.llm.suffix_dedup import remove_repeats
 from pairloom.llm.token_counts import count_tokens
 from pairloom.llm.vector_join import vector_links
 from pairloom.llm.warc import read_bundles, write_bundles
@@ -105,3 +106,8 @@ def op8_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
