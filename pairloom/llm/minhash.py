@@ -1,7 +1,7 @@
 """Near-duplicate documents by DartMinHash signatures.
 
-A document is the weighted set of its five-word shingles, the weight being how often a shingle
-occurs. Darts fall on the region under each weight, one axis being a random rank: within a unit
+A document is the weighted set of its five-word shingles; a shingle that occurs c times weighs
+1 + ln c, so that a line repeated many times does not outweigh the rest of a text. Darts fall on the region under each weight, one axis being a random rank: within a unit
 of weight they arrive as a Poisson process that only the hash of the shingle and of the unit
 decides, so equal parts of two documents get equal darts. A document of total weight W looks at
 ranks up to t / W, about t darts whatever its length. Each dart belongs to one of K coordinates;
@@ -34,23 +34,39 @@ ROWS = 6
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 3)
 MANY_DARTS = 32.0
+# Buckets of up to so many members are compared pair by pair, larger ones in pieces.
+SMALL_BUCKET = 8
+PIECE_ROWS = 256
+PIECE_WEIGHT = 500_000.0
 
 
-def weighted_units(hashes: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash per unit of weight: a value's first occurrence, its second, and so on.
-
-    Within a text sorted by value. Plain set operations on units are multiset operations on
-    the values. Also gives the text of each unit.
-    """
+def bag_weights(
+    hashes: np.ndarray, of_text: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values of each text in order, their texts, and how often each occurs."""
     text = np.repeat(np.arange(len(of_text) - 1), np.diff(of_text))
     order = np.lexsort((hashes, text))
     value = hashes[order]
     first = np.ones(len(value), bool)
     first[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     starts = np.flatnonzero(first)
-    runs = np.diff(np.concatenate([starts, [len(value)]]))
-    nth = np.arange(len(value)) - np.repeat(starts, runs)
-    return kernels.mix(value + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), text
+    return value[starts], text[starts], np.diff(np.append(starts, len(value)))
+
+
+def weight_of(count: np.ndarray) -> np.ndarray:
+    """The weight of a shingle that occurs ``count`` times."""
+    return 1 + np.log(count)
+
+
+def weight_units(
+    values: np.ndarray, text: np.ndarray, weights: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The region under each weight cut at whole numbers: hash, text, height of each piece."""
+    n = np.ceil(weights).astype(np.int64)
+    owner = np.repeat(np.arange(len(values)), n)
+    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    units = kernels.mix(values[owner] + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return units, text[owner], np.minimum(weights[owner] - nth, 1.0)
 
 
 def _gap(units: np.ndarray, nth: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,31 +109,34 @@ def throw_darts(
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def signatures(hashes: np.ndarray, of_text: np.ndarray) -> np.ndarray:
-    """K values per text; rows of texts without shingles are zero."""
+def signatures(hashes: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """K values per text and its total weight; rows of texts without shingles are zero."""
     n = len(of_text) - 1
     out = np.zeros((n, COORDINATES), np.uint64)
-    units, text = weighted_units(hashes, of_text)
-    weight = np.bincount(text, minlength=n)
+    values, owner, counts = bag_weights(hashes, of_text)
+    units, text, height = weight_units(values, owner, weight_of(counts))
+    weight = np.bincount(text, weights=height, minlength=n)
     open_texts, darts = np.flatnonzero(weight), DARTS
     while len(open_texts):
         place = np.full(n, -1)
         place[open_texts] = np.arange(len(open_texts))
         mine = place[text] >= 0
-        own_units, own_text = units[mine], place[text[mine]]
+        own_units, own_text, own_height = units[mine], place[text[mine]], height[mine]
         at, dart, rank = throw_darts(own_units, darts / weight[open_texts][own_text])
+        under = kernels.unit(kernels.mix(dart + np.uint64(7))) < own_height[at]
+        at, dart, rank = at[under], dart[under], rank[under]
         cell = own_text[at] * COORDINATES + (
             kernels.mix(dart + np.uint64(11)) % np.uint64(COORDINATES)
         ).astype(np.int64)
         best = np.full(len(open_texts) * COORDINATES, np.inf)
         np.minimum.at(best, cell, rank)
         first = rank == best[cell]
-        values = np.zeros(len(best), np.uint64)
-        values[cell[first]] = dart[first]
+        drawn = np.zeros(len(best), np.uint64)
+        drawn[cell[first]] = dart[first]
         full = np.isfinite(best).reshape(-1, COORDINATES).all(axis=1)
-        out[open_texts[full]] = values.reshape(-1, COORDINATES)[full]
+        out[open_texts[full]] = drawn.reshape(-1, COORDINATES)[full]
         open_texts, darts = open_texts[~full], darts * 2
-    return out
+    return out, weight
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -127,25 +146,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return kernels.mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def pack_units(units: np.ndarray) -> bytes:
-    """Units as 40-bit numbers in order: first all high bytes, then all low words."""
-    value = np.sort(units >> np.uint64(24))
-    return (value >> np.uint64(32)).astype(np.uint8).tobytes() + value.astype("<u4").tobytes()
+def pack_bag(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Values as 40-bit numbers in order and their counts, byte by byte of all."""
+    short = values >> np.uint64(24)
+    high = (short >> np.uint64(32)).astype(np.uint8)
+    return high.tobytes() + short.astype("<u4").tobytes() + counts.astype("<u4").tobytes()
 
 
-def unpack_units(packed: bytes) -> np.ndarray:
-    n = len(packed) // 5
+def unpack_bag(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 9
     high = np.frombuffer(packed, np.uint8, n).astype(np.uint64) << np.uint64(32)
-    return high | np.frombuffer(packed, "<u4", n, n)
+    values = high | np.frombuffer(packed, "<u4", n, n)
+    return values, weight_of(np.frombuffer(packed, "<u4", n, 5 * n).astype(np.float64))
 
 
 def similarity(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed documents."""
-    n_a, n_b = len(a) // 5, len(b) // 5
-    both = np.concatenate([unpack_units(a), unpack_units(b)])
-    both.sort(kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared / (n_a + n_b - shared) if n_a + n_b else 0.0
+    values_a, weight_a = unpack_bag(a)
+    values_b, weight_b = unpack_bag(b)
+    both = np.concatenate([values_a, values_b])
+    order = np.argsort(both, kind="stable")
+    weight = np.concatenate([weight_a, weight_b])[order]
+    pair = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    shared = np.minimum(weight[pair], weight[pair + 1]).sum()
+    total = weight.sum() - shared
+    return float(shared / total) if total else 0.0
 
 
 def node_of(text: Column | str) -> Column:
@@ -159,40 +184,56 @@ def _text_shingles(part: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.nd
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_units, keys (one per band; none for a text without words)."""
+    """doc_id, node, weight, keys (one per band; none for a text without words)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 hashes, of_text = _text_shingles(part, "text")
                 count = np.diff(of_text)
-                keys = band_keys(signatures(hashes, of_text)).view(np.int64)
+                signature, weight = signatures(hashes, of_text)
+                keys = band_keys(signature).view(np.int64)
                 offsets = np.concatenate([[0], np.cumsum((count > 0) * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(keys[count > 0].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("node"), pa.array(count), lists],
-                    ["doc_id", "node", "n_units", "keys"],
+                    [part.column("doc_id"), part.column("node"), pa.array(weight), lists],
+                    ["doc_id", "node", "weight", "keys"],
                 )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), "text"
     )
-    return rows.mapInArrow(signed, "doc_id long, node binary, n_units long, keys array<long>")
+    return rows.mapInArrow(signed, "doc_id long, node binary, weight double, keys array<long>")
 
 
 def packed_documents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, units (packed), one row for each of ``nodes`` (node, doc_id, n_rows)."""
+    """node, bag, sketch, keys, one row for each of ``nodes`` (node, doc_id, n_rows).
+
+    The sketch is the lowest byte of each coordinate of the signature.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 hashes, of_text = _text_shingles(part, "text")
-                units, text = weighted_units(hashes, of_text)
+                values, text, counts = bag_weights(hashes, of_text)
                 at = np.searchsorted(text, np.arange(part.num_rows + 1))
-                cells = [pack_units(units[at[i] : at[i + 1]]) for i in range(part.num_rows)]
+                cells = [
+                    pack_bag(values[i:j], counts[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)
+                ]
+                signature, _ = signatures(hashes, of_text)
+                columns = [
+                    cells,
+                    [r.tobytes() for r in signature.astype(np.uint8)],
+                    [r.tobytes() for r in band_keys(signature)],
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("n_rows"), pa.array(cells, pa.binary())],
-                    ["node", "n_rows", "units"],
+                    [
+                        part.column("node"),
+                        part.column("n_rows"),
+                        *[pa.array(c, pa.binary()) for c in columns],
+                    ],
+                    ["node", "n_rows", "bag", "sketch", "keys"],
                 )
 
     wanted = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), "n_rows")
@@ -201,20 +242,20 @@ def packed_documents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ).join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     stored = materialize(
         chosen.select("node", "n_rows", "text").mapInArrow(
-            packed, "node binary, n_rows long, units binary"
+            packed, "node binary, n_rows long, bag binary, sketch binary, keys binary"
         ),
-        "units",
+        "bags",
     )
-    once = stored.where("n_rows = 1").select("node", "units")
-    return once.union(stored.where("n_rows > 1").select("node", "units").dropDuplicates(["node"]))
+    once = stored.where("n_rows = 1").drop("n_rows")
+    return once.union(stored.where("n_rows > 1").drop("n_rows").dropDuplicates(["node"]))
 
 
-def compared(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+def compared(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """Of the pairs (a, b), those at least ``least`` similar."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second = batch.column("units_a"), batch.column("units_b")
+            first, second = batch.column("bag_a"), batch.column("bag_b")
             hit = [
                 similarity(first[i].as_py(), second[i].as_py()) >= least
                 for i in range(batch.num_rows)
@@ -222,32 +263,109 @@ def compared(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return (
-        pairs.join(units.toDF("a", "units_a"), "a")
-        .join(units.toDF("b", "units_b"), "b")
-        .select("a", "b", "units_a", "units_b")
+        pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
+        .join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+        .select("a", "b", "bag_a", "bag_b")
         .mapInArrow(linked, "a binary, b binary")
     )
 
 
 def _near_size(least: float) -> Column:
     """Sizes too far apart cannot reach the similarity."""
-    return F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)
+    return F.least("w_a", "w_b") >= F.greatest("w_a", "w_b") * F.lit(least - 1e-9)
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def linked_block(rows: dict[str, list], band_key: int, least: float, crossing: bool) -> list[tuple]:
+    """Links that join different components among the rows of one bucket.
+
+    With ``crossing`` only between the two sides. A pair is looked at in the first bucket that
+    it shares; pairs whose sketches agree too seldom (five standard errors below ``least``) are
+    skipped, the others compared exactly, unless links found before connect them.
+    """
+    n = len(rows["node"])
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(n, COORDINATES)
+    keys = np.frombuffer(b"".join(rows["keys"]), np.uint64).reshape(n, BANDS)
+    weight, side = np.array(rows["weight"]), np.array(rows["side"])
+    number: dict[bytes, int] = {}
+    root = np.array([number.setdefault(r, len(number)) for r in rows["root"]])
+    floor = COORDINATES * (least - 5 * math.sqrt(least * (1 - least) / COORDINATES))
+    band = int(np.flatnonzero(keys[0] == np.uint64(band_key & (2**64 - 1)))[0])
+    top = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        far = np.minimum(weight[rest], weight[i]) < np.maximum(weight[rest], weight[i]) * (least - 1e-9)
+        rest = rest[(root[rest] != root[i]) & ~far]
+        if crossing:
+            rest = rest[side[rest] != side[i]]
+        rest = rest[(sketch[rest] == sketch[i]).sum(axis=1) >= floor]
+        rest = rest[(keys[rest] == keys[i]).argmax(axis=1) == band]
+        for j in rest.tolist():
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y and similarity(rows["bag"][i], rows["bag"][j]) >= least:
+                top[max(x, y)] = min(x, y)
+                out.append((rows["node"][i], rows["node"][j]))
+    return out
+
+
+def _block_links(mixed: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Links within large buckets (key, node, weight, root, n, total_weight), piece by piece.
+
+    A bucket is cut into pieces of bounded size; every two pieces meet in one group, so memory
+    is bounded and no pair of rows is written.
+    """
+    pieces = F.ceil(F.greatest(F.col("n") / PIECE_ROWS, F.col("total_weight") / PIECE_WEIGHT)).cast("int")
+    side = F.pmod(F.xxhash64("node", "key"), pieces).cast("int")
+    placed = (
+        mixed.withColumn("pieces", pieces)
+        .withColumn("side", side)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .select(
+            "key", "node", "weight", "root", "side",
+            F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"),
+        )
+    )
+
+    def linked(group: pa.Table) -> pa.Table:
+        rows = group.to_pydict()
+        crossing = rows["low"][0] != rows["high"][0]
+        found = linked_block(rows, rows["key"][0], least, crossing)
+        return pa.table(
+            {
+                "a": pa.array([f[0] for f in found], pa.binary()),
+                "b": pa.array([f[1] for f in found], pa.binary()),
+            }
+        )
+
+    return (
+        placed.join(bags, "node")
+        .select("key", "low", "high", "side", "node", "weight", "root", "bag", "sketch", "keys")
+        .groupBy("key", "low", "high")
+        .applyInArrow(linked, "a binary, b binary")
+    )
+
+
 def near_links(docs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes that join all components of the similarity graph.
 
     First every member of a bucket meets the member with the smallest node, of all buckets only
     once; then, in buckets that still hold several components, every member meets that leader;
-    last, in buckets that even then hold several components, every pair of members of different
-    components is compared. So each pair that shares a bucket is linked, tested, or already
+    last, in buckets that even then hold several components, all pairs of members of different
+    components are compared, pair by pair in small buckets and in pieces in large ones. So each pair that shares a bucket is linked, tested, or already
     connected.
     """
-    rows = signed.select("node", "n_units", F.explode("keys").alias("key"))
+    rows = signed.select("node", "weight", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
     shared = shared.where("lead <> last").select("key", "lead")
     members = materialize(rows.join(shared, "key").distinct(), "bucket-members")
@@ -259,11 +377,11 @@ def near_links(docs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "n")).alias("first"))
         .select("node", "first.doc_id", F.col("first.n").alias("n_rows"))
     )
-    units = packed_documents(docs, nodes)
-    sizes = members.select(F.col("node").alias("lead"), F.col("n_units").alias("n_b")).distinct()
+    bags = packed_documents(docs, nodes)
+    sizes = members.select(F.col("node").alias("lead"), F.col("weight").alias("w_b")).distinct()
     stars = (
         members.where("node <> lead")
-        .select(F.col("node").alias("a"), F.col("n_units").alias("n_a"), "lead")
+        .select(F.col("node").alias("a"), F.col("weight").alias("w_a"), "lead")
         .distinct()
         .join(sizes, "lead")
         .withColumnRenamed("lead", "b")
@@ -272,7 +390,7 @@ def near_links(docs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     tested = materialize(
         _pairs(stars.groupBy("a").agg(F.min("b").alias("b"))), "pairs"
     )
-    links = materialize(compared(tested, units, least), "links")
+    links = materialize(compared(tested, bags, least), "links")
     roots = components(links)
 
     def split(df: DataFrame) -> DataFrame:
@@ -284,36 +402,39 @@ def near_links(docs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     more = _pairs(split(stars.select("a", "b"))).join(tested, ["a", "b"], "left_anti")
     more = materialize(more, "pairs")
     if not more.isEmpty():
-        links = materialize(links.union(compared(more, units, least)), "links")
+        links = materialize(links.union(compared(more, bags, least)), "links")
         tested, roots = tested.union(more), components(links)
     named = members.join(roots, "node", "left").select(
-        "key", "node", "n_units", F.coalesce("root", "node").alias("root")
-    )
-    mixed = (
-        named.groupBy("key", "root")
-        .agg(F.count("*").alias("n"))
-        .groupBy("key")
-        .agg(F.count("*").alias("n_roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
-        .where("n_roots > 1")
-        .select("key", "main")
+        "key", "node", "weight", F.coalesce("root", "node").alias("root")
     )
-    named = materialize(named.join(mixed, "key"), "mixed-buckets")
-    one = named.where("root <> main").select(
-        "key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n_units").alias("n_a")
+    per_bucket = (
+        named.groupBy("key")
+        .agg(
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+            F.count("*").alias("n"),
+            F.sum("weight").alias("total_weight"),
+        )
+        .where("low <> high")
+        .drop("low", "high")
     )
-    two = named.select(
-        "key",
-        F.col("node").alias("b"),
-        F.col("root").alias("root_b"),
-        F.col("n_units").alias("n_b"),
-        (F.col("root") == F.col("main")).alias("in_main"),
+    mixed = materialize(named.join(per_bucket, "key"), "mixed-buckets")
+    small = mixed.where(F.col("n") <= SMALL_BUCKET)
+    one, two = (
+        small.select(
+            "key",
+            F.col("node").alias(x),
+            F.col("root").alias(f"root_{x}"),
+            F.col("weight").alias(f"w_{x}"),
+        )
+        for x in "ab"
     )
     cross = one.join(two, "key").where(
-        (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-        & _near_size(least)
+        (F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & _near_size(least)
     )
     rest = materialize(_pairs(cross).join(tested, ["a", "b"], "left_anti"), "pairs")
-    return links.union(compared(rest, units, least))
+    blocks = _block_links(mixed.where(F.col("n") > SMALL_BUCKET), bags, least)
+    return links.union(compared(rest, bags, least)).union(blocks)
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
