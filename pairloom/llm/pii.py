@@ -135,28 +135,42 @@ KINDS = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
     """For each place, all earlier values merged (0 at first).
 
     Merged within blocks of about the square root of the length and over the blocks, so a text
     with very many matches costs n * sqrt(n) steps and not n squared.
     """
-    n = F.size(values)
-    wide = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
     fold = lambda part: F.aggregate(part, F.lit(0), merge)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / wide).cast("int") - 1)).otherwise(
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    blocks = F.transform(starts, lambda j: fold(F.slice(values, j * wide + 1, wide)))
-    done = F.transform(starts, lambda j: fold(F.slice(blocks, F.lit(1), j)))
-    return F.transform(
-        places,
-        lambda i: merge(
-            F.get(done, F.floor(i / wide).cast("int")),
-            fold(F.slice(values, i - i % wide + 1, i % wide)),
-        ),
-    )
+
+    def over(v: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+
+        def with_blocks(blocks: Column) -> Column:
+            sums = F.transform(upto(F.size(blocks)), lambda j: fold(F.slice(blocks, F.lit(1), j)))
+            return _let(
+                sums,
+                lambda done: F.transform(
+                    upto(F.size(v)),
+                    lambda i: merge(
+                        F.get(done, F.floor(i / wide).cast("int")),
+                        fold(F.slice(v, i - i % wide + 1, i % wide)),
+                    ),
+                ),
+            )
+
+        starts = upto(F.ceil(F.size(v) / wide).cast("int"))
+        return _let(F.transform(starts, lambda j: fold(F.slice(v, j * wide + 1, wide))), with_blocks)
+
+    return _let(values, over)
 
 
 def _added(a: Column, b: Column) -> Column:
@@ -176,12 +190,14 @@ def _matches(docs: DataFrame, kind: Kind, text: str) -> DataFrame:
         F.arrays_zip(F.col(gaps).alias("g"), F.col(found).alias("v")),
         lambda x: F.length(x["g"]) + F.coalesce(F.length(x["v"]), F.lit(0)),
     )
-    docs = docs.withColumn(f"{at}_n", F.when(any_found, lengths))
-    docs = docs.withColumn(at, F.when(any_found, _running(F.col(f"{at}_n"), _added)))
+    docs = docs.withColumn(at, F.when(any_found, _running(lengths, _added)))
+    zipped = F.arrays_zip(
+        F.col(found).alias("value"), F.col(gaps).alias("gap"), F.col(at).alias("at")
+    )
 
-    def span(value: Column, i: Column) -> Column:
-        gap = F.get(F.col(gaps), i)
-        begin = F.get(F.col(at), i) + F.length(gap)
+    def span(match: Column) -> Column:
+        value, gap = match["value"], match["gap"]
+        begin = match["at"] + F.length(gap)
         near = F.lower(F.right(gap, F.lit(CONTEXT_CHARS)))
         bonus = F.when(F.rlike(near, F.lit(rf"\b(?:{kind.context})\b")), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(
@@ -192,13 +208,14 @@ def _matches(docs: DataFrame, kind: Kind, text: str) -> DataFrame:
             (kind.confirm(value) if kind.confirm else F.lit(True)).alias("ok"),
         )
 
-    spans = F.filter(F.transform(F.col(found), span), lambda s: s["ok"])
+    matches = F.filter(zipped, lambda m: m["value"].isNotNull())
+    spans = F.filter(F.transform(matches, span), lambda s: s["ok"])
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
     spans = F.transform(spans, lambda s: s.dropFields("ok"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     return docs.withColumn(name, F.coalesce(F.when(any_found, spans), none)).drop(
-        found, gaps, at, f"{at}_n"
+        found, gaps, at
     )
 
 
@@ -255,20 +272,25 @@ def redacted(text: Column, spans: Column) -> Column:
     end of all spans before it. The text is cut as an array of code points, so the cost is that
     of its length, however many spans there are.
     """
-    chars = F.split(text, "")
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    ends = F.transform(ordered, lambda s: s["end"])
-    covered = _running(ends, lambda a, b: F.greatest(a, b))
-    pieces = F.transform(
-        F.arrays_zip(ordered.alias("s"), covered.alias("c")),
-        lambda x: F.when(
-            x["s"]["start"] >= x["c"],
-            F.concat(
-                F.array_join(F.slice(chars, x["c"] + 1, x["s"]["start"] - x["c"]), ""),
-                F.concat(F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")),
-            ),
-        ).otherwise(F.lit("")),
-    )
-    last = F.array_max(ends)
-    tail = F.array_join(F.slice(chars, last + 1, F.size(chars)), "")
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    span = F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))
+
+    def cut(chars: Column) -> Column:
+        def join(ordered: Column) -> Column:
+            ends = F.transform(ordered, lambda s: s["end"])
+            covered = _running(ends, lambda a, b: F.greatest(a, b))
+            pieces = F.transform(
+                F.arrays_zip(ordered.alias("s"), covered.alias("c")),
+                lambda x: F.when(
+                    x["s"]["start"] >= x["c"],
+                    F.concat(
+                        F.array_join(F.slice(chars, x["c"] + 1, x["s"]["start"] - x["c"]), ""),
+                        F.concat(F.lit("["), F.upper(x["s"]["kind"]), F.lit("]")),
+                    ),
+                ).otherwise(F.lit("")),
+            )
+            tail = F.slice(chars, F.array_max(ends) + 1, F.size(chars))
+            return F.concat(F.array_join(pieces, ""), F.array_join(tail, ""))
+
+        return _let(F.sort_array(span), join)
+
+    return F.when(F.size(spans) > 0, _let(F.split(text, ""), cut)).otherwise(text)
