@@ -44,9 +44,11 @@ from pairloom.session import materialize
 LENGTH = 50
 GRAM = 16
 GRAMS = LENGTH - GRAM + 1
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
+# A bucket is judged in so many ranges of names, one after the other.
+RANGES = 16
 # A null id is larger than any other: its text keeps nothing from others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -188,13 +190,19 @@ def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 _, _, strings, least, *_ = shared_strings(row, drop)
                 names = np.array([s[0] for s in strings], np.uint64)
-                begin, cells = 0, [[], [], [], [], []]
-                for bucket, end in enumerate(bucket_ends(names, buckets)):
+                ends = bucket_ends(names, buckets * RANGES).reshape(buckets, RANGES)
+                begin, cells = 0, [[], [], [], [], [], []]
+                for bucket in range(buckets):
+                    end = int(ends[bucket, -1])
                     if end > begin:
                         own = [s[1] for s in strings[begin:end]]
                         sizes = np.array([len(s) for s in own], np.uint64)
                         ids = np.array(least[begin:end], np.int64).view(np.uint64)
-                        values = (bucket, row["chunk"], b"".join(own), pack(sizes), pack(ids))
+                        ranges = np.diff(ends[bucket], prepend=begin).astype(np.uint64)
+                        values = (
+                            bucket, row["chunk"], b"".join(own),
+                            pack(sizes), pack(ids), pack(ranges),
+                        )
                         for cell, value in zip(cells, values, strict=True):
                             cell.append(value)
                     begin = end
@@ -202,11 +210,12 @@ def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64()),
                          *[pa.array(c, pa.binary()) for c in cells[2:]]],
-                        ["bucket", "chunk", "strings", "sizes", "ids"],
+                        ["bucket", "chunk", "strings", "sizes", "ids", "ranges"],
                     )
 
     return chunks.select("chunk", "doc_ids", "sizes", "data", "answers").mapInArrow(
-        asked, "bucket int, chunk long, strings binary, sizes binary, ids binary"
+        asked,
+        "bucket int, chunk long, strings binary, sizes binary, ids binary, ranges binary",
     )
 
 
@@ -264,6 +273,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
     Kasai's array, in text order: place i and its predecessor share at least one byte less than
     place i - 1 and its own. With a bound of a few words the lengths are found by comparing
     eight bytes at a time, for all places at once, instead of walking on from that length.
+    Bytes past the end count as zeros.
     """
     n = len(data)
     before = np.full(n, -1)
@@ -271,14 +281,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
     words = np.concatenate([eight_bytes(data), np.zeros(most, np.uint64)])
     length = np.zeros(n, np.int64)
     open_at = np.flatnonzero(before >= 0)
-    for done in range(0, most - most % 8, 8):
-        same = words[open_at + done] == words[before[open_at] + done]
-        open_at = open_at[same]
-        length[open_at] = done + 8
-    ends = np.concatenate([data, np.zeros(most, np.uint8)])
-    for done in range(most - most % 8, most):
-        open_at = open_at[ends[open_at + done] == ends[before[open_at] + done]]
-        length[open_at] = done + 1
+    for done in range(0, most, 8):
+        differ = words[open_at + done] ^ words[before[open_at] + done]
+        equal = sum((differ >> np.uint64(64 - 8 * b) == 0).astype(np.int64) for b in range(1, 8))
+        length[open_at] = np.minimum(done + equal + (differ == 0), most)
+        open_at = open_at[differ == 0]
     return length[order]
 
 
@@ -348,33 +355,39 @@ def _string_answers(asked: DataFrame) -> DataFrame:
     """bucket, chunk, least: the smallest ids of all windows of the chunk's strings, in order."""
 
     def judged(group: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {}
-        least: list[int] = []
         askers = []
         for row in group.to_pylist():
-            sizes = unpack(row["sizes"]).astype(np.int64)
-            ids = unpack(row["ids"]).view(np.int64)
-            mine, begin = [], 0
-            for size, doc in zip(sizes.tolist(), ids.tolist(), strict=True):
-                string = row["strings"][begin : begin + size]
-                begin += size
-                i = place.setdefault(string, len(least))
-                if i == len(least):
-                    least.append(doc)
-                elif doc < least[i]:
-                    least[i] = doc
-                mine.append(i)
-            askers.append((row["bucket"], row["chunk"], mine))
-        found = smallest_ids(list(place), least)
-        blobs = [
-            pack_sorted(np.concatenate([found[i] for i in mine]).view(np.uint64))
-            for _, _, mine in askers
-        ]
+            sizes, ids = unpack(row["sizes"]).astype(np.int64), unpack(row["ids"]).view(np.int64)
+            ends = np.cumsum(unpack(row["ranges"]).astype(np.int64))
+            askers.append((row, np.cumsum(sizes) - sizes, sizes, ids, ends, []))
+        for part in range(RANGES):
+            place: dict[bytes, int] = {}
+            least: list[int] = []
+            asked_for = []
+            for row, begins, sizes, ids, ends, _ in askers:
+                own = slice(ends[part - 1] if part else 0, ends[part])
+                mine = []
+                for begin, size, doc in zip(
+                    begins[own].tolist(), sizes[own].tolist(), ids[own].tolist(), strict=True
+                ):
+                    i = place.setdefault(row["strings"][begin : begin + size], len(least))
+                    if i == len(least):
+                        least.append(doc)
+                    elif doc < least[i]:
+                        least[i] = doc
+                    mine.append(i)
+                asked_for.append(mine)
+            if least:
+                found = smallest_ids(list(place), least)
+                for (*_, out), mine in zip(askers, asked_for, strict=True):
+                    out += [found[i] for i in mine]
         return pa.table(
             {
-                "bucket": pa.array([a[0] for a in askers], pa.int32()),
-                "chunk": pa.array([a[1] for a in askers], pa.int64()),
-                "least": pa.array(blobs, pa.binary()),
+                "bucket": pa.array([a[0]["bucket"] for a in askers], pa.int32()),
+                "chunk": pa.array([a[0]["chunk"] for a in askers], pa.int64()),
+                "least": pa.array(
+                    [pack_sorted(np.concatenate(a[-1]).view(np.uint64)) for a in askers], pa.binary()
+                ),
             }
         )
 
