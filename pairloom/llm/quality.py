@@ -2,8 +2,9 @@
 
 Trusted positives and unlabelled web text train a small network by the non-negative unbiased
 risk: pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)), where pi, the share of positives in unlabelled
-text, is estimated first. Only bounded samples (parameters) train; their features, not their
-texts, come to the driver. Every text is scored whole, in one pass without a shuffle.
+text, is estimated first, on halves of the samples that its classifier has not seen. Only
+bounded samples (parameters) train; their features, not their texts, come to the driver. Every
+text is scored whole, in one pass without a shuffle.
 
 Features of a text describe its form and not its topic: shares of transitions between kinds of
 characters, word lengths, and how often words, word pairs and five-word shingles repeat.
@@ -23,8 +24,10 @@ from pairloom.llm import kernels
 KINDS = 8
 FEATURES = KINDS * KINDS + KINDS + 10
 HIDDEN = 24
-EPOCHS = 40
-BATCH = 512
+STEPS = 800
+BATCH = 256
+RATE = 0.003
+DECAY = 0.003
 
 
 def _kinds() -> np.ndarray:
@@ -109,8 +112,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int = 7):
-    """Adam on mini-batches. With a prior: non-negative risk; without: plain P against U."""
+def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int = 7) -> list[np.ndarray]:
+    """Adam on mini-batches. With a prior: non-negative risk; without: plain P against U.
+
+    The number of steps is the same for every size of the samples.
+    """
     random = np.random.default_rng(seed)
     d = p.shape[1]
     weights = [
@@ -119,40 +125,31 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, seed: int = 7):
         random.normal(0, HIDDEN**-0.5, HIDDEN),
         np.zeros(1),
     ]
-    first, second, step = [0 * w for w in weights], [0 * w for w in weights], 0
-    for _ in range(EPOCHS):
-        order_p, order_u = random.permutation(len(p)), random.permutation(len(u))
-        rounds = max(1, min(max(len(p), len(u)) // BATCH, 80))
-        for part_p, part_u in zip(
-            np.array_split(np.resize(order_p, max(len(p), rounds)), rounds),
-            np.array_split(np.resize(order_u, max(len(u), rounds)), rounds),
-            strict=True,
-        ):
-            x = np.vstack([p[part_p], u[part_u]])
-            n = len(part_p)
-            hidden = np.tanh(x @ weights[0] + weights[1])
-            z = hidden @ weights[2] + weights[3][0]
-            s = _sigmoid(z)
-            grad = np.empty(len(z))
-            if prior is None:
-                grad[:n], grad[n:] = (s[:n] - 1) / n, s[n:] / len(part_u)
+    first, second = [0 * w for w in weights], [0 * w for w in weights]
+    for step in range(1, STEPS + 1):
+        drawn_p, drawn_u = random.integers(0, len(p), BATCH), random.integers(0, len(u), BATCH)
+        x = np.vstack([p[drawn_p], u[drawn_u]])
+        hidden = np.tanh(x @ weights[0] + weights[1])
+        z = hidden @ weights[2] + weights[3][0]
+        s, n = _sigmoid(z), BATCH
+        grad = np.empty(len(z))
+        if prior is None:
+            grad[:n], grad[n:] = (s[:n] - 1) / n, s[n:] / n
+        else:
+            losses = np.logaddexp(0, z)
+            negative = losses[n:].mean() - prior * losses[:n].mean()
+            if negative >= 0:
+                grad[:n], grad[n:] = -prior / n, s[n:] / n
             else:
-                losses = np.logaddexp(0, z)
-                negative = losses[n:].mean() - prior * losses[:n].mean()
-                if negative >= 0:
-                    grad[:n] = prior * ((s[:n] - 1) - s[:n]) / n
-                    grad[n:] = s[n:] / len(part_u)
-                else:
-                    grad[:n], grad[n:] = prior * s[:n] / n, -s[n:] / len(part_u)
-            back = np.outer(grad, weights[2]) * (1 - hidden**2)
-            grads = [x.T @ back, back.sum(0), hidden.T @ grad, np.array([grad.sum()])]
-            step += 1
-            for i, g in enumerate(grads):
-                g = g + 1e-4 * weights[i]
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                rate = 0.004 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                weights[i] = weights[i] - rate * first[i] / (np.sqrt(second[i]) + 1e-8)
+                grad[:n], grad[n:] = prior * s[:n] / n, -s[n:] / n
+        back = np.outer(grad, weights[2]) * (1 - hidden**2)
+        grads = [x.T @ back, back.sum(0), hidden.T @ grad, np.array([grad.sum()])]
+        rate = RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for i, g in enumerate(grads):
+            g = g + DECAY * weights[i] if weights[i].size > HIDDEN or i == 2 else g
+            first[i] = 0.9 * first[i] + 0.1 * g
+            second[i] = 0.999 * second[i] + 0.001 * g * g
+            weights[i] = weights[i] - rate * first[i] / (np.sqrt(second[i]) + 1e-8)
     return weights
 
 
@@ -182,8 +179,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model | None:
     def logits(weights, x):
         return np.tanh(x @ weights[0] + weights[1]) @ weights[2] + weights[3][0]
 
-    plain = _train(p, u, None)
-    prior = estimate_prior(logits(plain, p), logits(plain, u))
+    estimates = []
+    for half in (0, 1):
+        own_p, own_u = p[half::2], u[half::2]
+        other_p, other_u = p[1 - half :: 2], u[1 - half :: 2]
+        if len(own_p) and len(own_u) and len(other_p) and len(other_u):
+            plain = _train(own_p, own_u, None)
+            estimates.append(estimate_prior(logits(plain, other_p), logits(plain, other_u)))
+    prior = float(np.mean(estimates)) if estimates else 0.5
     inner, inner_bias, outer, bias = _train(p, u, prior)
     return Model(mean, scale, inner, inner_bias, outer, float(bias[0]), prior)
 
