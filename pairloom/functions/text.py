@@ -48,6 +48,21 @@ LANGUAGE_CODES = {
     "nb": "nob_Latn",
 }
 
+# Codes that the tagged inputs may carry, whatever languages are mapped to them.
+SUPPORTED_CODES = (
+    "dan_Latn",
+    "deu_Latn",
+    "eng_Latn",
+    "fin_Latn",
+    "fra_Latn",
+    "ita_Latn",
+    "nld_Latn",
+    "nno_Latn",
+    "nob_Latn",
+    "spa_Latn",
+    "swe_Latn",
+)
+
 # Fixed value: training and prediction inputs end after this many tokens.
 MAX_TOKENS = 128
 

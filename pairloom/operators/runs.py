@@ -88,13 +88,13 @@ def summary_document(runs: DataFrame, max_runs: int) -> DataFrame:
     run tables use ``summary_rows``.
     """
     fields = [c for c in ("data_size", "bleu", "chrf", "loss", "failed") if c in runs.columns]
-    listed = runs.agg(
-        F.sort_array(F.collect_list(F.struct("run_seq", F.struct(*fields).alias("run")))).alias("all")
-    )
     n = runs.agg(F.count("*")).scalar()
     checked = runs.where(
         F.when(n > max_runs, F.raise_error(F.lit("too many runs for one document"))).otherwise(True)
     )
+    listed = checked.agg(
+        F.sort_array(F.collect_list(F.struct("run_seq", F.struct(*fields).alias("run")))).alias("all")
+    )
     rec = recommendation(checked)
     return rec.select("*", listed.scalar().alias("all")).select(
         "optimal_size", "recommended_size", F.col("all.run").alias("all_results")
@@ -145,8 +145,9 @@ def phase_gate(runs: DataFrame, gates: dict = PHASE_GATES) -> DataFrame:
 
 
 def gated_runs(runs: DataFrame, gates: dict = PHASE_GATES) -> DataFrame:
-    """Runs of the phases whose predecessors all let the sweep go on."""
-    before = Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)
+    """Runs of the phases whose predecessors, in the order of ``gates``, let the sweep go on."""
+    place = F.array_position(F.array(*map(F.lit, gates)), F.col("phase"))
+    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     reached = (
         phase_gate(runs, gates)
         .select("phase", F.coalesce(F.bool_and("goes_on").over(before), F.lit(True)).alias("reached"))

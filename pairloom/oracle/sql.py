@@ -8,8 +8,23 @@ from __future__ import annotations
 
 from itertools import product
 
-from pairloom.functions.text import LANGUAGE_CODES, SPACE, SPECIAL_TOKENS
-
+# Fixed values, stated here anew so that a mistake in the engine's own does not pass.
+SPACE = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+SPECIAL_TOKENS = ("<s>", "</s>", "<unk>", "<pad>", "<mask>")
+LANGUAGE_CODES = {
+    "de": "deu_Latn",
+    "en": "eng_Latn",
+    "es": "spa_Latn",
+    "fr": "fra_Latn",
+    "nb": "nob_Latn",
+}
+SUPPORTED = (
+    "('dan_Latn', 'deu_Latn', 'eng_Latn', 'fin_Latn', 'fra_Latn', 'ita_Latn', "
+    "'nld_Latn', 'nno_Latn', 'nob_Latn', 'spa_Latn', 'swe_Latn')"
+)
 ORACLE: dict[str, str] = {}
 
 
@@ -214,7 +229,7 @@ SELECT count(*) AS size, round(coalesce(sum(s)::DOUBLE / count(*), 0), 9) AS avg
   max(s)::INTEGER AS max_source_length, max(t)::INTEGER AS max_target_length FROM n"""
 
 ORACLE["lang_code_check"] = f"""SELECT lang, {code('lang')} AS code, count(*) AS n_docs,
-  {code('lang')} IS NOT NULL AS known FROM documents GROUP BY lang"""
+  coalesce({code('lang')} IN {SUPPORTED}, false) AS known FROM documents GROUP BY lang"""
 
 # --- splits -------------------------------------------------------------------------
 

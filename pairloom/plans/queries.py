@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.functions.schedule import eval_interval, save_interval, total_steps, warmup_rate
 from pairloom.functions.text import (
-    LANGUAGE_CODES,
+    SUPPORTED_CODES,
     decode,
     language_code,
     strip,
@@ -89,7 +89,7 @@ def lang_code_check(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang").groupBy("lang").agg(
         F.count("*").alias("n_docs")
     )
-    listed = spark.createDataFrame([(c,) for c in LANGUAGE_CODES.values()], "code string")
+    listed = spark.createDataFrame([(c,) for c in SUPPORTED_CODES], "code string")
     coded = docs.withColumn("code", language_code(F.col("lang")))
     known = coded.join(F.broadcast(listed), "code", "left_semi").withColumn("known", F.lit(True))
     other = coded.join(F.broadcast(listed), "code", "left_anti").withColumn("known", F.lit(False))
@@ -494,14 +494,14 @@ def _stream_paths(spark, name):
 def stream_metric_log(spark, sf_dir):
     """The log appended by a stream without repeats."""
     out, state = _stream_paths(spark, "stream-log")
-    metric_log.append_log(event_log_stream(spark, sf_dir), out, state).awaitTermination()
+    metric_log.append_log(event_log_stream(spark, sf_dir), out, state, delay=None).awaitTermination()
     return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query
 def stream_metric_windows(spark, sf_dir):
     out, state = _stream_paths(spark, "stream-windows")
-    metric_log.window_stream(event_log_stream(spark, sf_dir), out, state).awaitTermination()
+    metric_log.window_stream(event_log_stream(spark, sf_dir), out, state, delay=None).awaitTermination()
     windows = metric_log.read_windows(spark, out)
     return windows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 

@@ -93,12 +93,12 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """The log as a stream; the table may be one file or a folder of parts in any order."""
     schema = table(spark, sf_dir, "events").schema
     stream = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir.rstrip('/')}/events.parquet*")
     )
     # Watermarks need an instant, not a local time.
     return _as_log(stream).withColumn("ts", F.col("ts").cast("timestamp"))

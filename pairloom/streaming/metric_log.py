@@ -14,12 +14,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators.checkpoints import best_per_run
 
-DELAY = "1 day"
 
-
-def append_log(log: DataFrame, out: str, state: str, delay: str = DELAY) -> StreamingQuery:
-    """Append log entries once each; repeats within ``delay`` are dropped."""
-    unique = log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def append_log(log: DataFrame, out: str, state: str, *, delay: str | None) -> StreamingQuery:
+    """Append log entries once each, by event_id.
+
+    With ``delay=None`` every id is remembered, so nothing is lost in whatever order files come;
+    state grows with the ids, which is right for a backfill. A live log that is nearly in order
+    can name a delay: ids are then forgotten after it, and rows later than it are lost.
+    """
+    if delay is None:
+        unique = log.dropDuplicates(["event_id"])
+    else:
+        unique = log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return (
         unique.writeStream.format("parquet")
         .option("path", out)
@@ -50,12 +56,16 @@ def _newest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def window_stream(
-    log: DataFrame, out: str, state: str, width: str = "1 day", delay: str = DELAY
+    log: DataFrame, out: str, state: str, width: str = "1 day", *, delay: str | None
 ) -> StreamingQuery:
-    """Count, sum and maximum per run and window; late rows within ``delay`` count."""
+    """Count, sum and maximum per run and window.
+
+    With ``delay=None`` all rows count, however late; state is one row per run and window. A
+    delay forgets windows that old and loses rows later than it.
+    """
+    timed = log if delay is None else log.withWatermark("ts", delay)
     windows = (
-        log.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"), "run")
+        timed.groupBy(F.window("ts", width).alias("w"), "run")
         .agg(F.count("*").alias("n"), F.sum("metric").alias("metric_sum"), F.max("metric").alias("metric_max"))
         .select(F.col("w.start").alias("window_start"), "run", "n", "metric_sum", "metric_max")
     )

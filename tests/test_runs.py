@@ -1,4 +1,8 @@
 import json
+import os
+import shutil
+import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
@@ -6,7 +10,9 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import batching, checkpoints, hooks, metrics, runs
 from pairloom.plans import sweeps
+from pairloom.plans.queries import REGISTRY
 from pairloom.sources import runs as source
+from pairloom.sources.runs import event_log
 from pairloom.streaming import metric_log
 
 SCHEMA = (
@@ -168,11 +174,11 @@ def test_streams_equal_batch(spark, tmp_path):
         .option("latestFirst", False).parquet(inbox)
     )
     out = str(tmp_path / "log")
-    metric_log.append_log(stream, out, str(tmp_path / "s1"), "3 days").awaitTermination()
+    metric_log.append_log(stream, out, str(tmp_path / "s1"), delay=None).awaitTermination()
     stored = spark.read.parquet(out)
     assert sorted(r["event_id"] for r in stored.collect()) == list(range(12))
     files = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(out)
-    metric_log.window_stream(files, str(tmp_path / "w"), str(tmp_path / "s2"), delay="5 days").awaitTermination()
+    metric_log.window_stream(files, str(tmp_path / "w"), str(tmp_path / "s2"), delay=None).awaitTermination()
     got = metric_log.read_windows(spark, str(tmp_path / "w"))
     assert got.exceptAll(checkpoints.metric_windows(entries).select(*got.columns)).count() == 0
     assert got.count() == 3
@@ -219,3 +225,50 @@ def test_lazy_phases_stop(spark):
     both = sweeps.phased_sweep(memory, queries, phases, {"1": None})
     assert sorted(r["phase"] for r in both.collect()) == ["1", "2"]
     assert sweeps.sweep_sizes(700) == [(1, 500), (7, 700)]
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_registered_streams_lose_nothing(spark, tmp_path, sf_dir, as_folder):
+    """One file, or parts in random time order: the streams give what the batch gives."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    target = f"{tmp_path}/events.parquet"
+    if as_folder:
+        events.repartition(5, F.xxhash64("event_id")).write.parquet(target)
+    else:
+        shutil.copy(f"{sf_dir}/events.parquet", target)
+    for name in ("metric_log", "metric_windows", "best_per_run"):
+        streamed = REGISTRY[f"stream_{name}"](spark, str(tmp_path))
+        batch = {
+            "metric_log": lambda s, d: event_log(s, d),
+            "metric_windows": REGISTRY["metric_windows"],
+            "best_per_run": lambda s, d: checkpoints.best_per_run(event_log(s, d)),
+        }[name](spark, str(tmp_path)).select(*streamed.columns)
+        assert streamed.count() == batch.count() > 0
+        shown = lambda df: sorted(str([v for k, v in r.asDict().items() if k != "ts"]) for r in df.collect())
+        assert shown(streamed) == shown(batch)
+
+
+def test_phases_follow_their_list(spark):
+    rows = [(1, "2", 500, 0.05), (2, "10", 1000, 0.9)]
+    table = spark.createDataFrame(rows, "run_seq long, phase string, data_size long, bleu double")
+    table = table.withColumn("failed", F.lit(False))
+    reached = runs.gated_runs(table, {"2": 0.15, "10": None})
+    assert [r["phase"] for r in reached.collect()] == ["2"]
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From another folder, with the package on the driver's path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pairloom.plans.queries import REGISTRY\n"
+        "from pairloom.session import build_session\n"
+        "s = build_session('local[2]', **{'spark.sql.shuffle.partitions': '2', 'spark.ui.enabled': 'false'})\n"
+        "print(REGISTRY['corpus_bleu'](s, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=170
+    )
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert run.stdout.split()[-1] == "1"
