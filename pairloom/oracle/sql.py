@@ -473,7 +473,7 @@ pairs AS (SELECT s.pair_id, s.n, s.rk, s.k, a.c AS na, b.c AS nb FROM shared s
 
 MATCHED = """near AS (SELECT *, k::DOUBLE / (na + nb - k) AS sim FROM pairs),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY sim DESC, rk) AS i
-  FROM near WHERE sim >= 0.5::DOUBLE) WHERE i = 1),
+  FROM near WHERE sim >= 0.25::DOUBLE) WHERE i = 1),
 pred AS (SELECT q.split, q.pair_id, q.rk, t.rk AS match_rk, t.sim, coalesce(m.target, '') AS prediction, q.target AS reference
   FROM corpus q LEFT JOIN top t ON t.pair_id = q.pair_id
   LEFT JOIN corpus m ON m.split = 'train' AND m.rk = t.rk WHERE q.{queries})"""
@@ -555,9 +555,9 @@ FROM scored v, scored t, b, rec, s WHERE v.split = 'val' AND t.split = 'test'"""
 # --- lexical table ------------------------------------------------------------------
 
 LEXICON = f"""{CONV}, hp AS (SELECT *, {hashed('pair_id')} AS split FROM conv),
-sw AS (SELECT pair_id, w AS s, count(*) AS cs FROM (SELECT pair_id, unnest(({words('source')})[1:128]) AS w
+sw AS (SELECT pair_id, w AS s, count(*) AS cs FROM (SELECT pair_id, unnest({words('source')}) AS w
   FROM hp WHERE split = 'train') GROUP BY ALL),
-tw AS (SELECT pair_id, w AS t, count(*) AS ct FROM (SELECT pair_id, unnest(({words('target')})[1:128]) AS w
+tw AS (SELECT pair_id, w AS t, count(*) AS ct FROM (SELECT pair_id, unnest({words('target')}) AS w
   FROM hp WHERE split = 'train') GROUP BY ALL),
 co AS (SELECT pair_id, s, t, cs, ct FROM sw JOIN tw USING (pair_id)),
 len AS (SELECT pair_id, sum(cs) AS l FROM sw GROUP BY pair_id),

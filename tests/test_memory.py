@@ -48,7 +48,7 @@ def test_equals_all_pairs(spark, floor):
     got = memory.tm_predict(
         spark.createDataFrame(train, "rk long, source string, target string"),
         spark.createDataFrame(queries, "pair_id string, source string"),
-        floor,
+        (0.9, floor) if floor < 0.9 else (floor,),
     ).collect()
     assert len(got) == len(queries)
     for r in got:
