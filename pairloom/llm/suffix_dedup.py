@@ -45,10 +45,10 @@ LENGTH = 50
 GRAM = 16
 GRAMS = LENGTH - GRAM + 1
 CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 SHARD_BYTES = 1 << 20
 # A bucket is judged in so many ranges of names, one after the other.
-RANGES = 16
+RANGES = 8
 # A null id is larger than any other: its text keeps nothing from others.
 NO_ID = np.iinfo(np.int64).max
 
