@@ -42,7 +42,7 @@ from pairloom.llm.chunks import (
 from pairloom.session import materialize
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 3 << 20
