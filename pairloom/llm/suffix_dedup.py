@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm import kernels
@@ -200,7 +201,7 @@ def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
                         ids = np.array(least[begin:end], np.int64).view(np.uint64)
                         ranges = np.diff(ends[bucket], prepend=begin).astype(np.uint64)
                         values = (
-                            bucket, row["chunk"], b"".join(own),
+                            bucket, row["chunk"], zstandard.compress(b"".join(own), 1),
                             pack(sizes), pack(ids), pack(ranges),
                         )
                         for cell, value in zip(cells, values, strict=True):
@@ -359,6 +360,7 @@ def _string_answers(asked: DataFrame) -> DataFrame:
         for row in group.to_pylist():
             sizes, ids = unpack(row["sizes"]).astype(np.int64), unpack(row["ids"]).view(np.int64)
             ends = np.cumsum(unpack(row["ranges"]).astype(np.int64))
+            row["strings"] = zstandard.decompress(row["strings"])
             askers.append((row, np.cumsum(sizes) - sizes, sizes, ids, ends, []))
         for part in range(RANGES):
             place: dict[bytes, int] = {}
