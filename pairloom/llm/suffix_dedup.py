@@ -156,7 +156,7 @@ def _shared_names(asked: DataFrame) -> DataFrame:
 def shared_strings(row: dict, drop: int):
     """What a chunk compares with others.
 
-    The names, texts (bytes) and smallest ids of its different strings, sorted; and per run of
+    The names, texts (bytes) and smallest ids of its different strings, by name; and per run of
     shared windows its first window, number of windows, text and string.
     """
     data, at = chunk_bytes(row["data"], row["sizes"])
@@ -167,20 +167,30 @@ def shared_strings(row: dict, drop: int):
     keep = np.flatnonzero(shared[which] > 0) if len(distinct) else np.zeros(0, np.int64)
     names, first, count, text = names[keep], first[keep], count[keep], text[keep]
     ids, raw = _ids(row), data.tobytes()
-    least: dict[tuple[int, bytes], int] = {}
-    keys = []
+    place: dict[bytes, int] = {}
+    least: list[int] = []
+    named: list[int] = []
+    string = []
     for name, begin, n, doc in zip(
         names.tolist(), first.tolist(), count.tolist(), ids[text].tolist(), strict=True
     ):
-        key = (name, raw[begin : begin + n + LENGTH - 1])
-        keys.append(key)
-        known = least.get(key)
-        if known is None or doc < known:
-            least[key] = doc
-    ordered = sorted(least)
-    place = {key: i for i, key in enumerate(ordered)}
-    string = np.array([place[k] for k in keys], np.int64)
-    return data, at, ordered, [least[k] for k in ordered], first, count, text, string
+        i = place.setdefault(raw[begin : begin + n + LENGTH - 1], len(least))
+        if i == len(least):
+            least.append(doc)
+            named.append(name)
+        elif doc < least[i]:
+            least[i] = doc
+        string.append(i)
+    # Equal strings have equal names, and a chunk meets its strings in the same order each time.
+    order = np.argsort(np.array(named, np.uint64), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    texts = list(place)
+    ordered = [(named[i], texts[i]) for i in order.tolist()]
+    return (
+        data, at, ordered, [least[i] for i in order.tolist()], first, count, text,
+        rank[np.array(string, np.int64)],
+    )
 
 
 def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
