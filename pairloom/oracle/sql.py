@@ -485,6 +485,9 @@ TEST_PRED = f"{CORPUS}, {overlaps(TEST)}, " + MATCHED.format(
 
 ORACLE["tm_predict"] = f"""WITH {TEST_PRED}
 SELECT pair_id, match_rk, round(sim, 9) AS similarity, prediction FROM pred"""
+ORACLE["tm_predict_any"] = f"""WITH {TEST_PRED.replace(" WHERE sim >= 0.25::DOUBLE", "")}
+SELECT pair_id, match_rk, round(sim, 9) AS similarity, prediction,
+  (SELECT count(*) FILTER (match_rk IS NULL) FROM pred) AS n_unmatched FROM pred"""
 ORACLE["test_evaluation"] = f"""WITH {TEST_PRED}, {score_ctes('pred', ['split'])}
 SELECT split, n_segments, {ALL} FROM scored"""
 ORACLE["sample_predictions"] = f"""WITH {TEST_PRED}
@@ -511,6 +514,7 @@ lost AS (SELECT run_seq, round(1 - sum(sim) / count(*), 9) AS loss, count(match_
 sweep AS (SELECT run_seq, data_size, n_matched, bleu, chrf, loss FROM sizes JOIN scored USING (run_seq) JOIN lost USING (run_seq))"""
 
 ORACLE["scaling_sweep"] = f"WITH {SWEEP} SELECT * FROM sweep"
+ORACLE["scaling_sweep_any"] = f"WITH {SWEEP.replace(' WHERE sim >= 0.5::DOUBLE', '')} SELECT * FROM sweep"
 ORACLE["phased_sweep"] = f"""WITH {SWEEP},
 ph AS (SELECT *, CASE WHEN run_seq <= 3 THEN '1' WHEN run_seq <= 5 THEN '2' ELSE '3' END AS phase, false AS failed FROM sweep),
 {GATE.format(least=0.0001, runs='ph')}, {REACHED}

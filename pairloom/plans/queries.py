@@ -17,6 +17,7 @@ from pairloom.functions.text import (
     words,
 )
 from pairloom.operators import batching, checkpoints, lexicon, metrics, runs, splits
+from pairloom.operators.memory import ANY_SHARED, MIN_SIMILARITY, SEARCH_FLOORS
 from pairloom.operators.memory import tm_predict as predict_from_memory
 from pairloom.plans import sweeps
 from pairloom.session import fresh_path, materialize, spread, table
@@ -519,10 +520,21 @@ def stream_best_per_run(spark, sf_dir):
 @query
 def tm_predict(spark, sf_dir):
     corpus = line_corpus(spark, sf_dir)
-    predicted = predict_from_memory(_train(corpus), corpus.where("split = 'test'"))
+    predicted = predict_from_memory(_train(corpus), corpus.where("split = 'test'"), SEARCH_FLOORS)
     return predicted.select("pair_id", "match_rk", F.round("similarity", 9).alias("similarity"), "prediction")
 
 
+@query
+def tm_predict_any(spark, sf_dir):
+    """The best match of every test line that shares any word, and how many have none."""
+    corpus = line_corpus(spark, sf_dir)
+    floors = (*SEARCH_FLOORS, ANY_SHARED)
+    predicted = predict_from_memory(_train(corpus), corpus.where("split = 'test'"), floors)
+    return predicted.select(
+        "pair_id", "match_rk", F.round("similarity", 9).alias("similarity"), "prediction", "n_unmatched"
+    )
+
+
 @query
 def lexical_table(spark, sf_dir):
     pairs = splits.hash_split(conversation_pairs(spark, sf_dir), "pair_id")
@@ -538,11 +550,11 @@ def lexical_predict(spark, sf_dir):
     return predicted.select("pair_id", "prediction")
 
 
-def _sweep(spark, sf_dir):
+def _sweep(spark, sf_dir, floor=MIN_SIMILARITY):
     corpus = line_corpus(spark, sf_dir)
     train = _train(corpus)
     sizes = sweeps.sweep_sizes(train.count())
-    return sweeps.scaling_sweep(train, corpus.where("split = 'val'"), sizes)
+    return sweeps.scaling_sweep(train, corpus.where("split = 'val'"), sizes, floor)
 
 
 @query
@@ -550,6 +562,12 @@ def scaling_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir)
 
 
+@query
+def scaling_sweep_any(spark, sf_dir):
+    """The size sweep with the best match of every line that shares any word."""
+    return _sweep(spark, sf_dir, ANY_SHARED)
+
+
 @query
 def phased_sweep(spark, sf_dir):
     """Sweep rows of the phases that the gates reach."""
@@ -587,14 +605,14 @@ def param_sweep(spark, sf_dir):
 @query
 def test_evaluation(spark, sf_dir):
     corpus = line_corpus(spark, sf_dir)
-    predicted = materialize(sweeps.evaluate_splits(corpus, ["test"]), "test-predictions")
+    predicted = materialize(sweeps.evaluate_splits(corpus, ["test"], SEARCH_FLOORS), "test-predictions")
     return sweeps.scores_by_split(predicted)
 
 
 @query
 def sample_predictions(spark, sf_dir):
     corpus = line_corpus(spark, sf_dir)
-    return sweeps.samples(sweeps.evaluate_splits(corpus, ["test"]))
+    return sweeps.samples(sweeps.evaluate_splits(corpus, ["test"], SEARCH_FLOORS))
 
 
 @query
@@ -602,7 +620,7 @@ def baseline_comparison(spark, sf_dir):
     """Copying the source against the translation memory, on the test split."""
     corpus = line_corpus(spark, sf_dir)
     test = corpus.where("split = 'test'")
-    remembered = sweeps.evaluate_splits(corpus, ["test"]).select(
+    remembered = sweeps.evaluate_splits(corpus, ["test"], SEARCH_FLOORS).select(
         "pair_id", "prediction", F.col("target").alias("reference")
     )
     both = _copy_predictions(test).withColumn("system", F.lit("copy")).unionByName(
@@ -623,7 +641,7 @@ def final_result(spark, sf_dir):
     """Best setting of the run table, recommended size of it, scores and samples."""
     corpus = line_corpus(spark, sf_dir)
     every = event_runs(spark, sf_dir)
-    result = sweeps.final_result(corpus, runs.best_config(every), runs.recommendation(every))
+    result = sweeps.final_result(corpus, runs.best_config(every), runs.recommendation(every), SEARCH_FLOORS)
     return result.select(
         "validation_bleu", "validation_chrf", "test_bleu", "test_chrf",
         "configuration.r", "configuration.alpha", "configuration.dropout", "data_size",

@@ -60,6 +60,34 @@ def test_equals_all_pairs(spark, floor):
             assert r["similarity"] == pytest.approx(best[0])
 
 
+@pytest.mark.parametrize("floors", [(0.5, memory.ANY_SHARED), (memory.ANY_SHARED,)])
+def test_every_query_that_shares_a_word_has_its_best(spark, monkeypatch, floors):
+    monkeypatch.setattr(memory, "BLOCK_SOURCES", 40)
+    monkeypatch.setattr(memory, "BLOCK_QUERIES", 20)
+    train = [(i + 1, s, f"target {i}") for i, s in enumerate(texts(1, 120, 0.3))]
+    queries = [(f"q{i}", s + f" r{i} s t u v w x y z") for i, s in enumerate(texts(2, 60, 0.3))]
+    queries += [("none", "no such word"), ("empty", "")]
+    expected = brute(train, queries, 0.0)
+    got = memory.tm_predict(
+        spark.createDataFrame(train, "rk long, source string, target string"),
+        spark.createDataFrame(queries, "pair_id string, source string"),
+        floors,
+    ).collect()
+    assert len(got) == len(queries)
+    open_ = sum(best is None for best in expected.values())
+    assert min(best[0] for best in expected.values() if best) < 0.25
+    for r in got:
+        best = expected[r["pair_id"]]
+        assert r["n_unmatched"] == open_
+        assert (r["match_rk"], r["prediction"]) == ((best[1], best[2]) if best else (None, ""))
+        assert r["similarity"] == (pytest.approx(best[0]) if best else None)
+
+
+def test_floors_have_no_default(spark):
+    with pytest.raises(TypeError):
+        memory.tm_predict(None, None)
+
+
 def test_near_copies_share_one_posting(spark):
     """Sources that differ in a rare word only do not multiply the candidates."""
     train = spark.range(300).select(
