@@ -14,6 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 CONTEXT_CHARS = 40
+BLOCK_CHARS = 64  # the text is cut into such blocks, two of which hold any context
 CONTEXT_BONUS = 0.3
 LEAST_SCORE = 0.6
 
@@ -62,6 +63,9 @@ def _area_group_serial(value: Column) -> Column:
     )
 
 
+PHONE_WORDS = "(?:tele|cell|smart)?phones?|tel|call(?:s|ed|ing)?|mobiles?|fax(?:es|ed)?"
+
+
 class Kind(NamedTuple):
     """A kind of personal data. ``base`` kinds keep every confirmed match whatever its score."""
 
@@ -83,7 +87,7 @@ KINDS = (
         "@",
         None,
         0.9,
-        "e-?mail|mail|contact|write",
+        "e-?mail(?:s|ed)?|mail(?:s|ed)?|contacts?|write",
         True,
     ),
     Kind(
@@ -92,17 +96,17 @@ KINDS = (
         ".",
         _small_parts,
         0.6,
-        "ip|address|host|server",
+        "ips?|address(?:es)?|hosts?|servers?",
         True,
     ),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "", _luhn, 0.8, "card|visa|credit|pay", True),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", "", _luhn, 0.8, "cards?|visa|credit|pay(?:s|ing|ments?)?", True),
     Kind(
         "phone",
         r"\+[0-9][\x20().0-9-]+[0-9]",
         "+",
         _digit_count(9, 15),
         0.7,
-        "phone|tel|call|mobile|fax",
+        PHONE_WORDS,
         True,
     ),
     Kind(
@@ -111,7 +115,7 @@ KINDS = (
         "",
         _mod97,
         0.8,
-        "iban|account|bank|konto|cuenta|compte",
+        "ibans?|accounts?|bank(?:s|ing)?|konto|cuentas?|comptes?",
         False,
     ),
     Kind(
@@ -120,7 +124,7 @@ KINDS = (
         "-",
         _area_group_serial,
         0.4,
-        "ssn|social security",
+        "ssns?|social security",
         False,
     ),
     Kind(
@@ -129,7 +133,7 @@ KINDS = (
         "",
         None,
         0.3,
-        "phone|tel|call|mobile|fax",
+        PHONE_WORDS,
         False,
     ),
 )
@@ -177,8 +181,18 @@ def _added(a: Column, b: Column) -> Column:
     return a + b
 
 
-def _matches(docs: DataFrame, kind: Kind, text: str) -> DataFrame:
-    """Adds column ``kind.name``: the confirmed spans of one kind, in order."""
+def _piece(blocks: Column, start: Column, n: Column | int) -> Column:
+    """``n`` (at most BLOCK_CHARS) code points of the text from ``start``, whatever its length."""
+    first = F.floor(start / BLOCK_CHARS).cast("int")
+    two = F.concat(*[F.coalesce(F.get(blocks, first + i), F.lit("")) for i in (0, 1)])
+    return F.substr(two, start % BLOCK_CHARS + 1, F.lit(n) if isinstance(n, int) else n)
+
+
+def _matches(docs: DataFrame, kind: Kind, text: str, blocks: str) -> DataFrame:
+    """Adds column ``kind.name``: the confirmed spans of one kind, in order.
+
+    Context is what stands in the whole text just before and just after the match.
+    """
     found, gaps, at, name = f"_{kind.name}_found", f"_{kind.name}_gaps", f"_{kind.name}_at", kind.name
     may = F.contains(F.col(text), F.lit(kind.needs)) if kind.needs else F.lit(True)
     docs = docs.withColumn(
@@ -198,7 +212,10 @@ def _matches(docs: DataFrame, kind: Kind, text: str) -> DataFrame:
     def span(match: Column) -> Column:
         value, gap = match["value"], match["gap"]
         begin = match["at"] + F.length(gap)
-        near = F.lower(F.right(gap, F.lit(CONTEXT_CHARS)))
+        reach = F.least(begin, F.lit(CONTEXT_CHARS))
+        before = _piece(F.col(blocks), begin - reach, reach)
+        after = _piece(F.col(blocks), begin + F.length(value), CONTEXT_CHARS)
+        near = F.lower(F.concat(before, F.lit("\n"), after))
         bonus = F.when(F.rlike(near, F.lit(rf"\b(?:{kind.context})\b")), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(
             F.lit(name).alias("kind"),
@@ -228,8 +245,10 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> Dat
     repeated ids keep their rows; other columns are left out.
     """
     out = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    block = rf"(?s).{{1,{BLOCK_CHARS}}}"
+    out = out.withColumn("_blocks", F.regexp_extract_all("_text", F.lit(block), F.lit(0)))
     for kind in KINDS:
-        out = _matches(out, kind, "_text")
+        out = _matches(out, kind, "_text", "_blocks")
     out = out.withColumn("base", F.concat(*[k.name for k in KINDS if k.base]))
     out = out.withColumn("spans", F.col("base"))
     for kind in KINDS:

@@ -315,6 +315,25 @@ def test_base_spans_equal_plain_patterns(spark):
         assert re.sub(r"\[(EMAIL|IP|CARD|PHONE|IBAN|SSN|LOCAL_PHONE)\]", "", r.clean or "") == rest
 
 
+def test_context_is_read_from_the_whole_text(spark):
+    texts = [
+        "call 555-123-4567 or 555-123-4568",
+        "555-123-4567 (phone)",
+        "our telephones: 555-123-4567",
+        "ssn 123-45-6789, 123-45-6788, 123-45-6787",
+        "😀" * 63 + " 555-123-4567 é phone",
+        "phone " + "x" * 40 + " 555-123-4567 " + "y" * 40 + " phone",
+        "555-123-4567",
+    ]
+    found = find_pii(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in found}
+    number = "555-123-4567"
+    assert got == {
+        0: [number, "555-123-4568"], 1: [number], 2: [number],
+        3: ["123-45-6789", "123-45-6788", "123-45-6787"], 4: [number], 5: [], 6: [],
+    }
+
+
 def test_pii_of_very_long_texts(spark):
     texts = ["a" * 200_000, "1" * 200_000, "1 " * 100_000, "1." * 100_000, "+1" + "(" * 200_000, "a@b.c " * 3000]
     rows = list(enumerate(texts))
