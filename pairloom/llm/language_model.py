@@ -1,12 +1,14 @@
 """Language-model scores by a weighted backoff automaton learnt from the corpus.
 
-The model is a smoothed bigram model. Its states are the words that occur as histories, and one
+The model is a smoothed bigram model: order two, with no longer histories, so that no chain of
+failure arcs has more than one step. Its states are the words that occur as histories, and one
 root; a seen bigram u w is an arc of state u with weight log P(w | u), a word an arc of the root,
 and every state has a failure arc to the root with its backoff weight. A text is scored by one
 traversal from left to right: the state is the last known word, and a word without an arc there
 follows the failure arc first.
 
-  P(w)     = (c(w) - D) / N, and D V / N for the one event "unknown"; D = n1 / (n1 + 2 n2)
+  P(w)     = (c(w) - D) / N, and D V / N for the one event "unknown"; D = n1 / (n1 + 2 n2), or
+             0.5 where no word occurs twice, as D = 1 would make words that occur once impossible
   P(w | u) = (c(u w) + k P(w)) / (c(u) + k), k = c(u) ** beta
 
 k is the expected number of different words after u. beta is fitted so that these add up to the
@@ -167,7 +169,7 @@ class Smoothing:
     def __init__(self, stats: np.ndarray | None):
         stats = np.zeros(6 + len(BETAS)) if stats is None else stats
         self.tokens, self.words, once, twice, pairs, self.texts = stats[:6]
-        self.discount = once / (once + 2 * twice) if once else 0.5
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
         self.beta = float(np.interp(pairs, stats[6:], BETAS)) if self.tokens else 1.0
 
     def root(self, count: np.ndarray) -> np.ndarray:

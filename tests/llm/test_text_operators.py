@@ -390,6 +390,15 @@ def test_scores_equal_brute_force(docs, corpus, monkeypatch):
         assert mine == theirs
 
 
+def test_words_that_occur_once_are_possible(spark):
+    rows = score_texts(spark.createDataFrame([(0, "a b c"), (2, "c b a")], SCHEMA), folds=1, held=1)
+    for rows in (rows.collect(), score_texts(spark.createDataFrame([(0, "a b c")], SCHEMA), 1, 1).collect()):
+        assert all(math.isfinite(r.score) for r in rows)
+    once = language_model.Smoothing(np.array([3.0, 3.0, 3.0, 0.0, 3.0, 1.0, *language_model.BETAS]))
+    assert once.discount < 1
+    assert np.isfinite(language_model.traverse(once, np.ones(1), np.ones(1), np.zeros(1))).all()
+
+
 def test_no_learning_text(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
     rows = score_texts(spark.createDataFrame([(i, "a b") for i in held], SCHEMA)).collect()
