@@ -519,6 +519,7 @@ ORACLE["phased_sweep"] = f"""WITH {SWEEP},
 ph AS (SELECT *, CASE WHEN run_seq <= 3 THEN '1' WHEN run_seq <= 5 THEN '2' ELSE '3' END AS phase, false AS failed FROM sweep),
 {GATE.format(least=0.0001, runs='ph')}, {REACHED}
 SELECT run_seq, phase, data_size, bleu, chrf FROM ph WHERE phase IN (SELECT phase FROM reached)"""
+ORACLE["phased_sweep_stopped"] = ORACLE["phased_sweep"].replace("0.0001::DOUBLE", "0.15::DOUBLE")
 ORACLE["summary_document"] = f"""WITH {SWEEP}, valid AS (SELECT * FROM sweep), {RECOMMENDED}
 SELECT optimal_size, recommended_size, (SELECT string_agg(printf('%d %.9f %.9f %.9f', data_size, bleu, chrf, loss), chr(10)
   ORDER BY run_seq) FROM sweep) AS all_results FROM rec"""

@@ -568,9 +568,7 @@ def scaling_sweep_any(spark, sf_dir):
     return _sweep(spark, sf_dir, ANY_SHARED)
 
 
-@query
-def phased_sweep(spark, sf_dir):
-    """Sweep rows of the phases that the gates reach."""
+def _phased(spark, sf_dir, gates):
     phase = F.lit("3")
     for name, sizes in PHASE_SIZES.items():
         places = [i + 1 for i, s in enumerate(sweeps.DATA_SIZES) if s in sizes]
@@ -579,7 +577,19 @@ def phased_sweep(spark, sf_dir):
         _sweep(spark, sf_dir).select("*", phase.alias("phase"), F.lit(None).cast("boolean").alias("failed")),
         "swept",
     )
-    return runs.gated_runs(swept, SWEEP_GATES).select("run_seq", "phase", "data_size", "bleu", "chrf")
+    return runs.gated_runs(swept, gates).select("run_seq", "phase", "data_size", "bleu", "chrf")
+
+
+@query
+def phased_sweep(spark, sf_dir):
+    """Sweep rows of the phases that the gates reach."""
+    return _phased(spark, sf_dir, SWEEP_GATES)
+
+
+@query
+def phased_sweep_stopped(spark, sf_dir):
+    """The same under the reference's gate, which the invented texts do not pass."""
+    return _phased(spark, sf_dir, runs.PHASE_GATES)
 
 
 @query

@@ -54,5 +54,14 @@ def test_equals_sql(name, spark, sf_dir, duck):
     assert ours == _rows(result.fetchall(), columns, wanted)
 
 
+def test_gate_stops_a_phase(spark, monkeypatch):
+    swept = [(i + 1, n, 0.01 * (i + 1), 1.0) for i, n in enumerate((500, 1000, 2000, 3000, 5000, 10000))]
+    frame = spark.createDataFrame(swept, "run_seq long, data_size long, bleu double, chrf double")
+    monkeypatch.setattr("pairloom.plans.queries._sweep", lambda *_: frame)
+    phases = {n: [r["phase"] for r in REGISTRY[n](spark, "").orderBy("run_seq").collect()]
+              for n in ("phased_sweep", "phased_sweep_stopped")}
+    assert phases == {"phased_sweep": [*"111223"], "phased_sweep_stopped": [*"111"]}
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1
