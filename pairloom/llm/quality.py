@@ -214,9 +214,14 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def _sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Features of at most ``most`` of the ids, the first by hash; the same in every run."""
+    """Features of at most ``most`` of the ids, the first by hash; the same in every run.
+
+    An id with several rows counts once, by the text with the least hash.
+    """
     chosen = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
     kept = docs.where("doc_id IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    kept = kept.groupBy("doc_id").agg(least["text"].alias("text"))
     rows = _features(kept).toArrow()
     if not rows.num_rows:
         return np.zeros((0, FEATURES))

@@ -91,6 +91,16 @@ def test_non_negative_risk_learns_from_positives():
     assert (model.logits(random_.normal(3, 1, (200, 5))) < -0.85).mean() > 0.95
 
 
+def test_sample_is_bounded_in_rows(spark):
+    rows = [(1, f"text {i} of one id") for i in range(300)] + [(i, f"other {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame([*rows, (12, None)], "doc_id long, text string")
+    ids = docs.select("doc_id")
+    assert len(quality._sample(docs, ids, 50)) == 12
+    assert len(quality._sample(docs, ids, 5)) == 5
+    again = docs.orderBy(F.desc("text")).repartition(3)
+    assert (quality._sample(docs, ids, 50) == quality._sample(again, ids, 50)).all()
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in LLM_QUERIES["op6_quality"](spark, folder).collect()}
