@@ -184,13 +184,14 @@ def _short_matches(index: ItemIndex, words: np.ndarray, length: int, best: dict[
 def _pass_over(docs: DataFrame, index: ItemIndex, least: float) -> DataFrame:
     """doc_id, node, item_id, similarity of the documents that match an item of the index."""
     short = [int(n) for n in np.unique(index.words) if n < kernels.SHINGLE]
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    # Plain arrays, as a class of this package is not known to the workers.
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(index))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("text", pa.string()), ("item_id", pa.int64()), ("similarity", pa.float64())]
     )
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = ItemIndex(*shared.value)
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 words, of_text = kernels.word_hashes(*kernels.text_bytes(part.column("text")))

@@ -60,14 +60,20 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch with at most ``limit`` bytes of text, or one longer text alone."""
+def slices(
+    batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch with at most ``limit`` bytes of text, or one longer text alone.
+
+    ``rows`` bounds the texts of a range too, for work that has a fixed size a text.
+    """
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     first, n = 0, batch.num_rows
     while first < n:
         done = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        last = min(last, first + rows) if rows else last
         yield batch.slice(first, last - first)
         first = last
 

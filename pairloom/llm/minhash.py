@@ -34,6 +34,8 @@ ROWS = 6
 COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (math.log(COORDINATES) + 3)
 MANY_DARTS = 32.0
+# A text takes about DARTS darts however short it is, so texts a slice are bounded beside bytes.
+SLICE_TEXTS = 256
 # Buckets of up to so many members are compared pair by pair, larger ones in pieces.
 SMALL_BUCKET = 8
 PIECE_ROWS = 256
@@ -188,7 +190,7 @@ def signed_documents(docs: DataFrame) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, "text"):
+            for part in kernels.slices(batch, "text", rows=SLICE_TEXTS):
                 hashes, of_text = _text_shingles(part, "text")
                 count = np.diff(of_text)
                 signature, weight = signatures(hashes, of_text)
@@ -214,7 +216,7 @@ def packed_documents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, "text"):
+            for part in kernels.slices(batch, "text", rows=SLICE_TEXTS):
                 hashes, of_text = _text_shingles(part, "text")
                 values, text, counts = bag_weights(hashes, of_text)
                 at = np.searchsorted(text, np.arange(part.num_rows + 1))

@@ -235,20 +235,21 @@ def train_classifier(
 ) -> Model | None:
     """Fit on at most ``most`` trusted positives and as many unlabelled documents.
 
-    Labels count only outside fold ``held``. A positive is an id all of whose label rows say
-    quality 1; unlabelled is an id without any label row. Label rows with nulls are no labels.
+    Only ids outside fold ``held`` are looked at, in both tables. A positive is an id all of
+    whose label rows say quality 1; unlabelled is an id without any label row. Label rows with
+    nulls are no labels.
     """
-    of_fold = fold(F.col("doc_id"), folds)
+    outside = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held)
+    seen = labels.where(outside)
     good = (
-        labels.where(F.col("doc_id").isNotNull() & (of_fold != held))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        seen.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
         .where("low = 1 AND high = 1")
         .select("doc_id")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = texts.select("doc_id").where("doc_id IS NOT NULL")
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = texts.select("doc_id").where(outside)
+    named = seen.select(F.col("doc_id").cast("long").alias("doc_id"))
     return fit(
         _sample(texts, good.join(ids, "doc_id", "left_semi"), most),
         _sample(texts, ids.join(named, "doc_id", "left_anti"), most),
