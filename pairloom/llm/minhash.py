@@ -1,7 +1,7 @@
 """Near-duplicate documents by DartMinHash signatures.
 
-A document is the weighted set of its five-word shingles; a shingle that occurs c times weighs
-1 + ln c, so that a line repeated many times does not outweigh the rest of a text. Darts fall on the region under each weight, one axis being a random rank: within a unit
+A document is the weighted set of its five-word shingles; a shingle weighs as often as it
+occurs. Darts fall on the region under each weight, one axis being a random rank: within a unit
 of weight they arrive as a Poisson process that only the hash of the shingle and of the unit
 decides, so equal parts of two documents get equal darts. A document of total weight W looks at
 ranks up to t / W, about t darts whatever its length. Each dart belongs to one of K coordinates;
@@ -55,11 +55,6 @@ def bag_weights(
     return value[starts], text[starts], np.diff(np.append(starts, len(value)))
 
 
-def weight_of(count: np.ndarray) -> np.ndarray:
-    """The weight of a shingle that occurs ``count`` times."""
-    return 1 + np.log(count)
-
-
 def weight_units(
     values: np.ndarray, text: np.ndarray, weights: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +111,7 @@ def signatures(hashes: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.
     n = len(of_text) - 1
     out = np.zeros((n, COORDINATES), np.uint64)
     values, owner, counts = bag_weights(hashes, of_text)
-    units, text, height = weight_units(values, owner, weight_of(counts))
+    units, text, height = weight_units(values, owner, counts.astype(np.float64))
     weight = np.bincount(text, weights=height, minlength=n)
     open_texts, darts = np.flatnonzero(weight), DARTS
     while len(open_texts):
@@ -159,7 +154,7 @@ def unpack_bag(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(packed) // 9
     high = np.frombuffer(packed, np.uint8, n).astype(np.uint64) << np.uint64(32)
     values = high | np.frombuffer(packed, "<u4", n, n)
-    return values, weight_of(np.frombuffer(packed, "<u4", n, 5 * n).astype(np.float64))
+    return values, np.frombuffer(packed, "<u4", n, 5 * n).astype(np.float64)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -364,8 +359,8 @@ def near_links(docs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     First every member of a bucket meets the member with the smallest node, of all buckets only
     once; then, in buckets that still hold several components, every member meets that leader;
     last, in buckets that even then hold several components, all pairs of members of different
-    components are compared, pair by pair in small buckets and in pieces in large ones. So each pair that shares a bucket is linked, tested, or already
-    connected.
+    components are compared, pair by pair in small buckets and in pieces in large ones. So each
+    pair that shares a bucket is linked, tested, or already connected.
     """
     rows = signed.select("node", "weight", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
