@@ -72,11 +72,11 @@ def running(
 ) -> DataFrame:
     """Running aggregates per key over a table from ``ordered_chunks``.
 
-    ``values`` maps an output name to ("sum" | "max" | "min", column). Each value
+    ``values`` maps an output name to ("sum" | "max" | "min" | "xor", column). Each value
     is combined from the chunks before (one row per key and chunk) and the rows
     before inside the chunk. ``inclusive=False`` leaves the current row out.
     """
-    functions = {"sum": F.sum, "max": F.max, "min": F.min}
+    functions = {"sum": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
     totals = chunks.groupBy(*keys, "chunk").agg(
         *[functions[f](c).alias(f"_t_{name}") for name, (f, c) in values.items()]
     )
@@ -103,6 +103,7 @@ def running(
         "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
         "max": F.greatest,
         "min": F.least,
+        "xor": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a.bitwiseXOR(b)),
     }
     local = chunks.select(
         "*",
