@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
+from pairloom.llm import merkle, sql
+from pairloom.llm.conversations import prefix_trie
 from pairloom.llm.decontaminate import contamination
 from pairloom.llm.language_model import score_texts
 from pairloom.llm.minhash import near_duplicates
@@ -111,3 +113,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+DOCUMENT = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.tampered_leaf(DOCUMENT, "text", "doc_id", every=3)
+    rows = merkle.manifest(docs, DOCUMENT, "doc_id", "lang", {"changed": changed})
+    folded = merkle.verified(rows.withColumn("now", F.coalesce("changed", "leaf")), "now")
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+LLM_ORACLE["op12_merkle"] = sql.MERKLE
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+LLM_ORACLE["op13_prefix_trie"] = sql.TRIE
