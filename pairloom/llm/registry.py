@@ -12,6 +12,7 @@ from pairloom.llm import merkle, sql
 from pairloom.llm.conversations import prefix_trie
 from pairloom.llm.decontaminate import contamination
 from pairloom.llm.language_model import score_texts
+from pairloom.llm.licenses import LEAST, PHRASES, TEMPLATES, scan_licenses
 from pairloom.llm.minhash import near_duplicates
 from pairloom.llm.mixing import plan_mix, taken_words
 from pairloom.llm.pii import find_pii, pii_digest
@@ -138,3 +139,11 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_ORACLE["op13_prefix_trie"] = sql.TRIE
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES, PHRASES, LEAST)
+
+
+LLM_ORACLE["op11_license_scan"] = sql.licenses(PHRASES, TEMPLATES, LEAST)

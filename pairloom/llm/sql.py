@@ -109,3 +109,37 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_con
   coalesce(e.ends, sha256('')) AS ends_sha256
 FROM nodes n JOIN below b USING (name) LEFT JOIN children k USING (name) LEFT JOIN ends e USING (name)
 LEFT JOIN parents p USING (name) LEFT JOIN nodes u ON u.name = p.parent"""
+
+# --- license scan -----------------------------------------------------------------------
+
+
+def licenses(phrases, templates, least: float) -> str:
+    """Every window of every size class against every template, by shared words."""
+
+    def words(text: str) -> str:
+        return f"regexp_extract_all({lowered(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+    notices = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(templates))
+    named = ", ".join(f"('{phrase}', '{label}')" for phrase, label in phrases)
+    return f"""WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+places AS (SELECT id, label, i - 1 AS start FROM
+  (SELECT id, w, unnest(generate_series(1, len(w))) AS i FROM docs),
+  (SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {named}) AS v(phrase, label))
+  WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+base AS (SELECT id, count(*) AS n, min(start) AS f, max(start) AS l,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY id),
+notices AS (SELECT t, label, {words('notice')} AS w FROM (VALUES {notices}) AS v(t, label, notice)),
+sized AS (SELECT t, label, w, (2 ** ceil(log2(len(w))))::BIGINT AS s, len(list_distinct(w)) AS n FROM notices),
+asked AS (SELECT DISTINCT t, label, s, n, unnest(w) AS word FROM sized),
+said AS (SELECT id, unnest(w) AS word, unnest(generate_series(0, len(w) - 1)) AS nth FROM docs WHERE len(w) > 0),
+hits AS (SELECT id, t, label, n, word, nth // s AS block FROM said JOIN asked USING (word)
+  UNION ALL SELECT id, t, label, n, word, nth // s - 1 FROM said JOIN asked USING (word) WHERE nth >= s),
+near AS (SELECT id, label, count(DISTINCT word) / n::DOUBLE AS share FROM hits GROUP BY id, t, label, n, block
+  HAVING count(DISTINCT word) >= ceil(n * {least}::DOUBLE - 1e-9::DOUBLE)),
+more AS (SELECT id, label, share FROM near UNION ALL SELECT id, label, 1.0::DOUBLE FROM places),
+every AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM more GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.f::BIGINT AS first_word,
+  b.l::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels,
+  coalesce(e.score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN base b USING (id) LEFT JOIN every e USING (id)"""

@@ -253,6 +253,8 @@ def folder(request, spark, tmp_path_factory):
     pages = [(1, None, None), (None, "u", "x" * 200), (1, "u", "x" * 200)]
     _write(spark, path, "pages", pages if odd else [], "page_id long, url string, html string")
     vectors = [(1, None, 1), (None, [1.0, 2.0], None), (2, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)]
+    talks = [(1, None, None, None), (1, 0, "user", "x"), (None, 1, "user", "y"), (2, 0, "user", "x")]
+    _write(spark, path, "conversations", talks if odd else [], "conv_id long, turn long, role string, text string")
     _write(spark, path, "embeddings", vectors if odd else [], "vec_id long, embedding array<float>, label int")
     return str(path), odd
 
@@ -261,13 +263,13 @@ def folder(request, spark, tmp_path_factory):
 def test_empty_and_odd_tables(spark, folder, name):
     path, odd = folder
     got = LLM_QUERIES[name](spark, path).collect()
-    full = {"op7_warc": 3, "op8_vector_join": 4}.get(name, 8) if odd else 0
+    full = {"op7_warc": 3, "op8_vector_join": 4, "op13_prefix_trie": 1}.get(name, 8) if odd else 0
     assert len(got) == full or name == "pipeline" and len(got) <= full
 
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
 
 
