@@ -6,6 +6,7 @@ compare every pair, ranks use one global window.
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 # Fixed values, stated here anew so that a mistake in the engine's own does not pass.
@@ -471,21 +472,28 @@ pairs AS (SELECT s.pair_id, s.n, s.rk, s.k, a.c AS na, b.c AS nb FROM shared s
   JOIN counts a ON a.pair_id = s.pair_id AND a.n = s.n JOIN counts b ON b.pair_id = s.mid AND b.n = s.n)"""
 
 
-MATCHED = """near AS (SELECT *, k::DOUBLE / (na + nb - k) AS sim FROM pairs),
+def matched(queries: str, sim: str = "k::DOUBLE / (na + nb - k)", keep: str = "true") -> str:
+    """CTE ``pred``: the best match of every query among ``pairs``, empty where there is none."""
+    return f"""near AS (SELECT *, {sim} AS sim FROM pairs),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY sim DESC, rk) AS i
-  FROM near WHERE sim >= 0.25::DOUBLE) WHERE i = 1),
+  FROM near WHERE {keep}) WHERE i = 1),
 pred AS (SELECT q.split, q.pair_id, q.rk, t.rk AS match_rk, t.sim, coalesce(m.target, '') AS prediction, q.target AS reference
   FROM corpus q LEFT JOIN top t ON t.pair_id = q.pair_id
   LEFT JOIN corpus m ON m.split = 'train' AND m.rk = t.rk WHERE q.{queries})"""
 
+
+def renamed(ctes: str, suffix: str) -> str:
+    """The same CTEs under other names, so that two searches fit into one query."""
+    own = "toks|grams|counts|shared|pairs|near|top|pred|settings|hits|lost"
+    return re.sub(rf"\b({own})\b", rf"\1_{suffix}", ctes)
+
+
 TEST = "split = 'test'"
-TEST_PRED = f"{CORPUS}, {overlaps(TEST)}, " + MATCHED.format(
-    queries=TEST
-)
+TEST_PRED = f"{CORPUS}, {overlaps(TEST)}, {matched(TEST)}"
 
 ORACLE["tm_predict"] = f"""WITH {TEST_PRED}
 SELECT pair_id, match_rk, round(sim, 9) AS similarity, prediction FROM pred"""
-ORACLE["tm_predict_any"] = f"""WITH {TEST_PRED.replace(" WHERE sim >= 0.25::DOUBLE", "")}
+ORACLE["tm_predict_any"] = f"""WITH {TEST_PRED}
 SELECT pair_id, match_rk, round(sim, 9) AS similarity, prediction,
   (SELECT count(*) FILTER (match_rk IS NULL) FROM pred) AS n_unmatched FROM pred"""
 ORACLE["test_evaluation"] = f"""WITH {TEST_PRED}, {score_ctes('pred', ['split'])}
@@ -500,38 +508,47 @@ b AS (SELECT * FROM scored WHERE system = 'copy'), f AS (SELECT * FROM scored WH
 SELECT 'BLEU' AS label, b.bleu AS baseline, f.bleu AS final, round(f.bleu - b.bleu, 9) AS gain FROM b, f
 UNION ALL SELECT 'CHRF', b.chrf, f.chrf, round(f.chrf - b.chrf, 9) FROM b, f"""
 
-SWEEP = f"""{CORPUS}, {SIZES}, {overlaps("split = 'val'")},
+_SWEEP = f"""{SIZES}, {overlaps("split = 'val'")},
 near AS (SELECT *, k::DOUBLE / (na + nb - k) AS sim FROM pairs),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_seq, pair_id ORDER BY sim DESC, rk) AS i
-  FROM near JOIN sizes ON rk <= data_size WHERE sim >= 0.5::DOUBLE) WHERE i = 1),
+  FROM near JOIN sizes ON rk <= data_size) WHERE i = 1),
 pred AS (SELECT s.run_seq, q.pair_id, t.rk AS match_rk, coalesce(t.sim, 0.0::DOUBLE) AS sim,
     coalesce(m.target, '') AS prediction, q.target AS reference
   FROM (SELECT * FROM corpus WHERE split = 'val') q CROSS JOIN sizes s
   LEFT JOIN top t ON t.pair_id = q.pair_id AND t.run_seq = s.run_seq
   LEFT JOIN corpus m ON m.split = 'train' AND m.rk = t.rk),
-{score_ctes('pred', ['run_seq'])},
+{score_ctes('pred', ['run_seq'], 'swept')},
 lost AS (SELECT run_seq, round(1 - sum(sim) / count(*), 9) AS loss, count(match_rk) AS n_matched FROM pred GROUP BY run_seq),
-sweep AS (SELECT run_seq, data_size, n_matched, bleu, chrf, loss FROM sizes JOIN scored USING (run_seq) JOIN lost USING (run_seq))"""
+sweep AS (SELECT run_seq, data_size, n_matched, bleu, chrf, loss FROM sizes JOIN swept USING (run_seq) JOIN lost USING (run_seq))"""
+SWEEP = f"{CORPUS}, {_SWEEP}"
 
 ORACLE["scaling_sweep"] = f"WITH {SWEEP} SELECT * FROM sweep"
-ORACLE["scaling_sweep_any"] = f"WITH {SWEEP.replace(' WHERE sim >= 0.5::DOUBLE', '')} SELECT * FROM sweep"
-ORACLE["phased_sweep"] = f"""WITH {SWEEP},
+ORACLE["scaling_sweep_any"] = ORACLE["scaling_sweep"]
+
+
+def phased(least: float) -> str:
+    return f"""WITH {SWEEP},
 ph AS (SELECT *, CASE WHEN run_seq <= 3 THEN '1' WHEN run_seq <= 5 THEN '2' ELSE '3' END AS phase, false AS failed FROM sweep),
-{GATE.format(least=0.0001, runs='ph')}, {REACHED}
+{GATE.format(least=least, runs='ph')}, {REACHED}
 SELECT run_seq, phase, data_size, bleu, chrf FROM ph WHERE phase IN (SELECT phase FROM reached)"""
-ORACLE["phased_sweep_stopped"] = ORACLE["phased_sweep"].replace("0.0001::DOUBLE", "0.15::DOUBLE")
+
+
+ORACLE["phased_sweep"] = phased(0.15)
+ORACLE["phased_sweep_stopped"] = ORACLE["phased_sweep"]
+ORACLE["phased_sweep_passed"] = phased(0.1)
 ORACLE["summary_document"] = f"""WITH {SWEEP}, valid AS (SELECT * FROM sweep), {RECOMMENDED}
 SELECT optimal_size, recommended_size, (SELECT string_agg(printf('%d %.9f %.9f %.9f', data_size, bleu, chrf, loss), chr(10)
   ORDER BY run_seq) FROM sweep) AS all_results FROM rec"""
 
 _SETTINGS = ", ".join(
     f"({i + 1}, {n}, {b}::DOUBLE, {f}::DOUBLE)"
-    for i, (n, b, f) in enumerate(product((1, 2, 3), (0.5, 1.0, 2.0), (0.6, 0.75, 0.9)))
+    for i, (n, b, f) in enumerate(product((1, 2, 3), (0.5, 1.0, 2.0), (0.3, 0.5, 0.7)))
 )
+_WEIGHTED = "((1 + beta * beta) * k) / (beta * beta * na + nb)"
 
-ORACLE["param_sweep"] = f"""WITH {CORPUS}, {overlaps("split = 'val'", (1, 2, 3))},
+_GRID = f"""{overlaps("split = 'val'", (1, 2, 3))},
 settings AS (SELECT * FROM (VALUES {_SETTINGS}) AS v(setting, gram_order, beta, min_similarity)),
-near AS (SELECT setting, pair_id, rk, ((1 + beta * beta) * k) / (beta * beta * na + nb) AS sim, min_similarity
+near AS (SELECT setting, pair_id, rk, {_WEIGHTED} AS sim, min_similarity
   FROM pairs JOIN settings ON gram_order = n),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, pair_id ORDER BY sim DESC, rk) AS i
   FROM near WHERE sim >= min_similarity) WHERE i = 1),
@@ -539,23 +556,27 @@ pred AS (SELECT s.setting, q.pair_id, t.rk AS match_rk, coalesce(m.target, '') A
   FROM (SELECT * FROM corpus WHERE split = 'val') q CROSS JOIN settings s
   LEFT JOIN top t ON t.pair_id = q.pair_id AND t.setting = s.setting
   LEFT JOIN corpus m ON m.split = 'train' AND m.rk = t.rk),
-{score_ctes('pred', ['setting'])},
-hits AS (SELECT setting, count(match_rk) AS n_matched FROM pred GROUP BY setting)
-SELECT setting, gram_order, beta, min_similarity, n_matched, bleu, chrf
-FROM settings JOIN scored USING (setting) JOIN hits USING (setting)"""
-
-_FINAL = f"""WITH {RUNS}, {RECOMMENDED},
-b AS (SELECT r, alpha, dropout FROM valid ORDER BY bleu DESC, run_seq LIMIT 1),
-{CORPUS}, {overlaps("split <> 'train'", memory="split = 'train' AND m.rk <= (SELECT recommended_size FROM rec)")},
-{MATCHED.format(queries="split <> 'train'")}, {score_ctes('pred', ['split'])},
+{score_ctes('pred', ['setting'], 'rated')},
+hits AS (SELECT setting, count(match_rk) AS n_matched FROM pred GROUP BY setting),
+grid AS (SELECT setting, gram_order, beta, min_similarity, n_matched, bleu, chrf
+  FROM settings JOIN rated USING (setting) JOIN hits USING (setting))"""
+
+ORACLE["param_sweep"] = f"WITH {CORPUS}, {_GRID} SELECT * FROM grid"
+
+_CHOSEN = _WEIGHTED.replace("beta", "(SELECT beta FROM chosen)")
+
+ORACLE["final_result"] = f"""WITH {CORPUS}, {renamed(_SWEEP, 'sizes')},
+valid AS (SELECT * FROM sweep), {RECOMMENDED}, {renamed(_GRID, 'grid')},
+chosen AS (SELECT gram_order, beta, min_similarity FROM grid ORDER BY bleu DESC, setting LIMIT 1),
+{overlaps("split <> 'train'", (1, 2, 3), "split = 'train' AND m.n = (SELECT gram_order FROM chosen) AND m.rk <= (SELECT recommended_size FROM rec)")},
+{matched("split <> 'train'", _CHOSEN, "sim >= (SELECT min_similarity FROM chosen)")},
+{score_ctes('pred', ['split'])},
 s AS (SELECT string_agg(prediction, chr(10) || '--' || chr(10) ORDER BY rk) AS sample_predictions,
   string_agg(reference, chr(10) || '--' || chr(10) ORDER BY rk) AS sample_references
-  FROM (SELECT * FROM pred WHERE split = 'test' ORDER BY rk LIMIT 10))"""
-
-ORACLE["final_result"] = f"""{_FINAL}
+  FROM (SELECT * FROM pred WHERE split = 'test' ORDER BY rk LIMIT 10))
 SELECT v.bleu AS validation_bleu, v.chrf AS validation_chrf, t.bleu AS test_bleu, t.chrf AS test_chrf,
-  r, alpha, dropout, recommended_size AS data_size, sample_predictions, sample_references
-FROM scored v, scored t, b, rec, s WHERE v.split = 'val' AND t.split = 'test'"""
+  gram_order, beta, min_similarity, recommended_size AS data_size, sample_predictions, sample_references
+FROM scored v, scored t, chosen, rec, s WHERE v.split = 'val' AND t.split = 'test'"""
 
 # --- lexical table ------------------------------------------------------------------
 

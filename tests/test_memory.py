@@ -6,21 +6,27 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import lexicon, memory, skew
+from pairloom.operators import lexicon, memory, nearest, skew
 
 
-def brute(train, queries, floor):
+def grams(text, n):
+    w = text.split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def brute(train, queries, wanted=nearest.Wanted(0), upto=None):
+    """Best source of every query: (score, rank, target) or None."""
     out = {}
     for pid, q in queries:
-        a = set(q.split())
+        a = grams(q, wanted.gram_order)
         best = None
         for rk, s, t in train:
-            b = set(s.split())
+            b = grams(s, wanted.gram_order)
             k = len(a & b)
-            if not k:
+            if not k or (upto and rk > upto):
                 continue
-            sim = k / (len(a) + len(b) - k)
-            if sim >= floor and (best is None or (sim, -rk) > (best[0], -best[1])):
+            sim = wanted.score(k, len(a), len(b))
+            if sim >= wanted.floor and (best is None or (sim, -rk) > (best[0], -best[1])):
                 best = (sim, rk, t)
         out[pid] = best
     return out
@@ -40,16 +46,26 @@ def texts(seed, n, near):
     return out
 
 
-@pytest.mark.parametrize("floor", [0.3, 0.5, 0.8, 1.0])
-def test_equals_all_pairs(spark, floor):
-    train = [(i + 1, s, f"target {i}") for i, s in enumerate(texts(1, 120, 0.3))]
-    queries = [(f"q{i}", s) for i, s in enumerate(texts(2, 60, 0.3))]
-    expected = brute(train, queries, floor)
-    got = memory.tm_predict(
+def frames(spark, train, queries):
+    return (
         spark.createDataFrame(train, "rk long, source string, target string"),
         spark.createDataFrame(queries, "pair_id string, source string"),
-        (0.9, floor) if floor < 0.9 else (floor,),
-    ).collect()
+    )
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_SOURCES", 20)
+    monkeypatch.setattr(nearest, "FEWEST_PAIRS", 50)
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.5, 1.0])
+def test_equals_all_pairs(spark, small_blocks, floor):
+    train = [(i + 1, s, f"target {i}") for i, s in enumerate(texts(1, 120, 0.3))]
+    queries = [(f"q{i}", s) for i, s in enumerate(texts(2, 60, 0.3))]
+    wanted = nearest.Wanted(0, floor=floor)
+    expected = brute(train, queries, wanted)
+    got = memory.tm_predict(*frames(spark, train, queries), wanted).collect()
     assert len(got) == len(queries)
     for r in got:
         best = expected[r["pair_id"]]
@@ -60,19 +76,12 @@ def test_equals_all_pairs(spark, floor):
             assert r["similarity"] == pytest.approx(best[0])
 
 
-@pytest.mark.parametrize("floors", [(0.5, memory.ANY_SHARED), (memory.ANY_SHARED,)])
-def test_every_query_that_shares_a_word_has_its_best(spark, monkeypatch, floors):
-    monkeypatch.setattr(memory, "BLOCK_SOURCES", 40)
-    monkeypatch.setattr(memory, "BLOCK_QUERIES", 20)
+def test_every_query_that_shares_a_word_has_its_best(spark, small_blocks):
     train = [(i + 1, s, f"target {i}") for i, s in enumerate(texts(1, 120, 0.3))]
     queries = [(f"q{i}", s + f" r{i} s t u v w x y z") for i, s in enumerate(texts(2, 60, 0.3))]
     queries += [("none", "no such word"), ("empty", "")]
-    expected = brute(train, queries, 0.0)
-    got = memory.tm_predict(
-        spark.createDataFrame(train, "rk long, source string, target string"),
-        spark.createDataFrame(queries, "pair_id string, source string"),
-        floors,
-    ).collect()
+    expected = brute(train, queries)
+    got = memory.tm_predict(*frames(spark, train, queries)).collect()
     assert len(got) == len(queries)
     open_ = sum(best is None for best in expected.values())
     assert min(best[0] for best in expected.values() if best) < 0.25
@@ -83,24 +92,54 @@ def test_every_query_that_shares_a_word_has_its_best(spark, monkeypatch, floors)
         assert r["similarity"] == (pytest.approx(best[0]) if best else None)
 
 
-def test_floors_have_no_default(spark):
-    with pytest.raises(TypeError):
-        memory.tm_predict(None, None)
-
-
-def test_near_copies_share_one_posting(spark):
-    """Sources that differ in a rare word only do not multiply the candidates."""
+def test_all_scores_and_tiers_in_one_search(spark, small_blocks):
+    train = [(i + 1, s, "") for i, s in enumerate(texts(3, 90, 0.2))]
+    queries = [(f"q{i}", s) for i, s in enumerate(texts(4, 30, 0.2))]
+    wanted = [nearest.Wanted(0), nearest.Wanted(1, 2, 0.5, 0.3), nearest.Wanted(2, 2, 2.0), nearest.Wanted(3, 3, 1.0, 0.7)]
+    tiers = [7, 40, 80]
+    best, sets = nearest.best_matches(*frames(spark, train, queries), wanted, tiers)
+    rows = sets.join(best, ["gram_order", "query_key"]).collect()
+    got = {(r["pair_id"], r["key"], r["tier"]): (r["rk"], r["score"]) for r in rows}
+    assert len(got) == len(rows)
+    want = {}
+    for w in wanted:
+        for tier, upto in enumerate(tiers):
+            for pid, found in brute(train, queries, w, upto).items():
+                if found:
+                    want[pid, w.key, tier] = (found[1], pytest.approx(found[0]))
+    assert got == want
+
+
+def test_bounds_spare_visits(spark, small_blocks, monkeypatch):
+    """A query with a copy among the sources visits no block of other sizes."""
+    train = [(i + 1, " ".join(f"w{j}" for j in range(i % 40, i % 40 + 1 + i // 4)), "") for i in range(160)]
+    queries = [(f"q{i}", train[i][1]) for i in range(0, 160, 10)]
+    visits = []
+    visit = nearest._visit
+    monkeypatch.setattr(nearest, "_visit", lambda v, *rest: visits.append(v.count()) or visit(v, *rest))
+    best, _ = nearest.best_matches(*frames(spark, train, queries), [nearest.Wanted(0)])
+    assert best.where("score = 1").count() == len(queries)
+    assert visits[0] == len(queries) and visits[1] <= len(queries)
+
+
+def test_near_copies_share_their_best(spark):
+    """Sources that differ in a rare word only: the first of them answers all."""
     train = spark.range(300).select(
         (F.col("id") + 1).alias("rk"),
         F.concat(F.lit("u"), F.col("id"), F.lit(" these words are all shared")).alias("source"),
+        F.lit("t").alias("target"),
     )
     queries = spark.range(20).select(
         F.concat(F.lit("q"), F.col("id")).alias("pair_id"),
         F.concat(F.lit("v"), F.col("id"), F.lit(" these words are all shared")).alias("source"),
     )
-    matches, _ = memory.find_matches(train, queries, [memory.jaccard_match(0.5)])
-    assert matches.count() <= 20 * 6
-    assert {r["rk"] for r in matches.collect()} == {1}
+    assert {r["match_rk"] for r in memory.tm_predict(train, queries).collect()} == {1}
+
+
+def test_no_queries_and_no_sources(spark):
+    none, one = [], [("q", "a b")]
+    assert memory.tm_predict(*frames(spark, [(1, "a", "t")], none)).count() == 0
+    assert memory.tm_predict(*frames(spark, [], one)).first()["n_unmatched"] == 1
 
 
 def test_salted_join_equals_join(spark):
