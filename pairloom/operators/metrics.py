@@ -1,11 +1,11 @@
 """Corpus BLEU and chrF, per segment, per slice and per evaluation.
 
-One plan serves all of them. Texts are spread by segment id once, n-grams are
-matched inside the task that holds the text, and only one small row of integers
-per segment leaves it; corpus scores are sums of those. Equal (prediction,
-reference) texts of a segment that occur in several evaluations (a sweep) are
-counted once. With several references per segment n-grams become rows, grouped
-by keys that contain the segment id and so without another shuffle.
+One plan serves all of them. N-grams are matched inside the task that reads the
+text, so texts do not move: one small row of integers per segment leaves the
+task, and corpus scores are sums of those. Slices and settings can be joined to
+these rows afterwards (``segment_stats``, then ``corpus_scores``). With several
+references per segment texts are spread by segment id and n-grams become rows,
+grouped by keys that contain the segment id and so without another shuffle.
 """
 
 from __future__ import annotations
@@ -32,28 +32,17 @@ def _total(length: Column, n: int) -> Column:
 
 
 def _texts(df: DataFrame, by: list[str], strip_text: bool) -> DataFrame:
-    """One row per segment and distinct text pair, its evaluations in ``evals``.
-
-    The partition number is given, so that small texts with costly n-grams are
-    not folded into few tasks.
-    """
+    """The keys and the cleaned texts of every segment."""
     clean = strip if strip_text else (lambda c: c)
     if _several(df):
         refs = F.transform("reference", lambda r: clean(text_or_empty(r)))
     else:
         refs = clean(text_or_empty(F.col("reference")))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shaped = df.select(
+    return df.select(
         *by,
         "pair_id",
         clean(text_or_empty(F.col("prediction"))).alias("prediction"),
         refs.alias("reference"),
-    ).repartition(parts, "pair_id")
-    if not by:
-        return shaped
-    key = F.col(by[0]) if len(by) == 1 else F.struct(*by)
-    return shaped.groupBy("pair_id", "prediction", "reference").agg(
-        F.collect_list(key).alias("evals")
     )
 
 
@@ -109,6 +98,7 @@ def _stats_single(texts: DataFrame, keys: list[str], words: bool, chars: bool) -
 
 def _stats_several(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Word statistics against the best count over all references of a segment."""
+    texts = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id")
     shortest = F.array_min(F.transform("reference", lambda t: F.size(tokens_13a(t))))
     keys = [*keys, "shortest"]
     side, n = F.col("side"), F.col("n")
@@ -152,7 +142,7 @@ def segment_stats(
     if chars and several:
         raise ValueError("chrF takes one reference per segment")
     texts = _texts(df, by, strip_text)
-    keys = ["pair_id", *(["evals"] if by else [])]
+    keys = [*by, "pair_id"]
     stats = (
         _stats_several(texts, keys) if several else _stats_single(texts, keys, words, chars)
     )
@@ -161,12 +151,7 @@ def segment_stats(
             absent = [f"pred_{name}s", f"ref_{name}s"]
             absent += [f"{name}_match_{n}" for n in range(1, orders + 1)]
             stats = stats.withColumns({c: F.lit(0).cast("long") for c in absent})
-    if not by:
-        return stats
-    one = stats.withColumn("eval", F.explode("evals")).drop("evals")
-    if len(by) == 1:
-        return one.withColumnRenamed("eval", by[0])
-    return one.select(*[F.col(f"eval.{b}") for b in by], "*").drop("eval")
+    return stats
 
 
 def totals(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -239,6 +224,12 @@ def chrf_column() -> Column:
     return F.round(score, DIGITS).alias("chrf")
 
 
+def corpus_scores(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """BLEU with precisions and chrF from segment statistics."""
+    by = list(by or [])
+    return totals(stats, by).select(*by, "n_segments", *bleu_columns(), chrf_column())
+
+
 def corpus_bleu(df: DataFrame, by: list[str] | None = None, strip_text: bool = True) -> DataFrame:
     by = list(by or [])
     stats = segment_stats(df, by, chars=False, strip_text=strip_text)
@@ -253,9 +244,7 @@ def corpus_chrf(df: DataFrame, by: list[str] | None = None, strip_text: bool = T
 
 def all_metrics(df: DataFrame, by: list[str] | None = None, strip_text: bool = True) -> DataFrame:
     """BLEU with precisions and chrF in one pass over the texts."""
-    by = list(by or [])
-    stats = segment_stats(df, by, strip_text=strip_text)
-    return totals(stats, by).select(*by, "n_segments", *bleu_columns(), chrf_column())
+    return corpus_scores(segment_stats(df, by, strip_text=strip_text), by)
 
 
 def segment_scores(df: DataFrame, by: list[str] | None = None, strip_text: bool = True) -> DataFrame:

@@ -309,15 +309,13 @@ def _length_band(text):
 
 @query
 def metrics_by_slice(spark, sf_dir):
-    """Scores by language, length band and document quality."""
-    pairs = line_pairs(spark, sf_dir)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    sliced = pairs.join(labels, "doc_id", "left").select(
-        "*", _length_band(F.col("target")).alias("band")
-    )
-    return metrics.all_metrics(
-        _copy_predictions(sliced, "lang", "band", "quality"), ["lang", "band", "quality"]
+    """Scores by language, length band and document quality; the quality meets counts, not texts."""
+    pairs = line_pairs(spark, sf_dir).withColumn("band", _length_band(F.col("target")))
+    stats = metrics.segment_stats(
+        _copy_predictions(pairs, "lang", "band", "doc_id"), ["lang", "band", "doc_id"]
     )
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return metrics.corpus_scores(stats.join(labels, "doc_id", "left"), ["lang", "band", "quality"])
 
 
 @query

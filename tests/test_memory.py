@@ -183,7 +183,9 @@ def brute_em(pairs, rounds):
     return prob
 
 
-def test_lexical_table(spark):
+@pytest.mark.parametrize("part", [1 << 20, 3, 1])
+def test_lexical_table(spark, monkeypatch, part):
+    monkeypatch.setattr(lexicon, "PART_PAIRS", part)
     pairs = [("das haus", "the house"), ("das buch", "the book"), ("ein buch", "a book"), ("", "none"),
              ("das das haus", "the the house")]
     df = spark.createDataFrame([(str(i), s, t) for i, (s, t) in enumerate(pairs)],
