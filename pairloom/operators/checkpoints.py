@@ -1,15 +1,14 @@
 """Metric logs: steps, logged means, best checkpoints, early stopping.
 
 A run may hold a large part of the log, so nothing orders a whole run in one
-task: steps and running values go through ``ordered_chunks``.
+task: steps and running values come from one ``scan`` of ranges.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.operators.ranking import ordered_chunks, running
-from pairloom.session import materialize
+from pairloom.operators.ranking import scan
 
 LOGGING_STEPS = 50
 KEEP_LAST = 2
@@ -21,11 +20,7 @@ _ORDER = ["ts", "event_id"]
 
 def numbered_log(log: DataFrame) -> DataFrame:
     """The log with ``step``, the place of an entry in its run, and ``chunk``."""
-    chunks = ordered_chunks(log, ["run"], _ORDER)
-    return materialize(
-        running(chunks, ["run"], _ORDER, {"step": ("sum", F.lit(1).cast("long"))}),
-        "numbered-log",
-    )
+    return scan(log, ["run"], _ORDER, {})
 
 
 def logged_means(numbered: DataFrame, every: int = LOGGING_STEPS) -> DataFrame:
@@ -62,29 +57,29 @@ def best_checkpoints(checkpoints: DataFrame, keep_last: int = KEEP_LAST) -> Data
     return both.groupBy("run", "step", "metric").agg(F.bool_or("is_best").alias("is_best"))
 
 
-def early_stops(numbered: DataFrame, patience: int = PATIENCE) -> DataFrame:
-    """First step of each run after ``patience`` entries without a new best."""
-    best = running(
-        numbered, ["run"], _ORDER, {"best_before": ("max", F.col("metric"))}, inclusive=False
-    )
-    improves = F.col("best_before").isNull() | (F.col("metric") > F.col("best_before"))
-    marked = best.withColumn("improved_at", F.when(improves, F.col("step")))
-    last = running(
-        marked, ["run"], _ORDER, {"last_improved": ("max", F.col("improved_at"))}
+def early_stops(log: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """First step of each run after ``patience`` entries without a new best.
+
+    An entry improves where the running maximum is first reached, so the step of the last
+    improvement is that of the current maximum, and one scan gives all.
+    """
+    metric = F.col("metric")
+    best = scan(
+        log.select("run", *_ORDER, "metric"), ["run"], _ORDER,
+        {"best": ("max", metric), "last_improved": ("first_max", metric)},
     )
-    stopped = F.col("step") - F.col("last_improved") >= patience
-    best_so_far = F.greatest("best_before", "metric")
-    return last.groupBy("run").agg(
+    stopped = F.col("step") - F.coalesce("last_improved", F.lit(0)) >= patience
+    return best.groupBy("run").agg(
         F.count("*").alias("n_steps"),
         F.min(F.when(stopped, F.col("step"))).alias("stop_step"),
-        F.min_by(best_so_far, F.when(stopped, F.col("step"))).alias("best_at_stop"),
+        F.min_by("best", F.when(stopped, F.col("step"))).alias("best_at_stop"),
     )
 
 
 def running_best(log: DataFrame) -> DataFrame:
     """Every entry with the best metric of its run up to then."""
-    chunks = ordered_chunks(log, ["run"], _ORDER)
-    return running(chunks, ["run"], _ORDER, {"best_so_far": ("max", F.col("metric"))}).drop("chunk")
+    best = scan(log, ["run"], _ORDER, {"best_so_far": ("max", F.col("metric"))})
+    return best.drop("chunk", "step")
 
 
 def best_per_run(log: DataFrame) -> DataFrame:

@@ -470,7 +470,7 @@ def best_checkpoint(spark, sf_dir):
 
 @query
 def early_stop_step(spark, sf_dir):
-    return checkpoints.early_stops(checkpoints.numbered_log(event_log(spark, sf_dir)))
+    return checkpoints.early_stops(event_log(spark, sf_dir))
 
 
 @query

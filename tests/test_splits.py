@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import splits
-from pairloom.operators.ranking import bucketed_rank, ordered_chunks, running
+from pairloom.operators.ranking import bucketed_rank, ordered_chunks, running, scan
 from pairloom.sources import pairs as pair_source
 
 
@@ -122,3 +123,42 @@ def test_bucketed_rank(spark):
     df = spark.range(100).withColumn("b", F.floor(F.col("id") / 7)).withColumn("g", F.col("id") % 2)
     assert all(r["rank"] == r["id"] + 1 and r["rank_of"] == 100 for r in bucketed_rank(df, ["b"], ["id"]).collect())
     assert all(r["rank"] == r["id"] // 2 + 1 for r in bucketed_rank(df, ["b"], ["id"], per=["g"]).collect())
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_scan_equals_windows(spark, batch):
+    """A hot key, a null key, nulls, ties: one exchange gives what a window per key gives."""
+    pick = random.Random(batch)
+    rows = [
+        (pick.choice(["hot", "hot", "hot", "b", "c", None]), i, pick.choice([None, 1, 2, 2, 5, 9]), pick.random())
+        for i in range(200)
+    ]
+    frame = spark.createDataFrame(rows, "run string, at long, v long, x double").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = scan(
+            frame, ["run"], ["at"],
+            {"total": ("sum", F.col("v")), "top": ("max", F.col("x")), "low": ("min", F.col("v")),
+             "since": ("first_max", F.col("v"))},
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 200
+    for run in {r[0] for r in rows}:
+        seen, mine = [], sorted((r for r in got if r["run"] == run), key=lambda r: r["at"])
+        for n, r in enumerate(mine, 1):
+            seen.append((r["v"], r["x"]))
+            values = [v for v, _ in seen if v is not None]
+            assert r["step"] == n
+            assert r["top"] == max(x for _, x in seen)
+            assert (r["total"], r["low"]) == ((sum(values), min(values)) if values else (None, None))
+            first = next((i for i, (v, _) in enumerate(seen, 1) if values and v == max(values)), None)
+            assert r["since"] == first
+
+
+def test_scan_moves_rows_once(spark):
+    plan = scan(spark.range(50).withColumn("k", F.col("id") % 3), ["k"], ["id"], {"s": ("sum", F.col("id"))})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert scan(spark.range(0).withColumn("k", F.lit(1)), ["k"], ["id"], {}).count() == 0
