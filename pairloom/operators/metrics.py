@@ -154,8 +154,8 @@ def segment_stats(
     return stats
 
 
-def totals(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Corpus sums of segment statistics."""
+def totals(stats: DataFrame, by: list[str] | None = None, score: str | None = None) -> DataFrame:
+    """Corpus sums of segment statistics, and mean and deviation of a column ``score``."""
     c, r = F.col("pred_chars"), F.col("ref_chars")
     sums = [
         F.count("*").alias("n_segments"),
@@ -170,6 +170,11 @@ def totals(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
         # A prediction's n-grams count only where the reference has some.
         sums.append(F.sum(F.when(r >= n, _total(c, n)).otherwise(0)).alias(f"char_pred_{n}"))
         sums.append(F.sum(_total(r, n)).alias(f"char_ref_{n}"))
+    if score:
+        sums += [
+            F.round(F.coalesce(F.avg(score), F.lit(0.0)), DIGITS).alias("score_mean"),
+            F.round(F.coalesce(F.stddev_pop(score), F.lit(0.0)), DIGITS).alias("score_std"),
+        ]
     return stats.groupBy(*(by or [])).agg(*sums)
 
 
@@ -242,9 +247,19 @@ def corpus_chrf(df: DataFrame, by: list[str] | None = None, strip_text: bool = T
     return totals(stats, by).select(*by, "n_segments", chrf_column())
 
 
-def all_metrics(df: DataFrame, by: list[str] | None = None, strip_text: bool = True) -> DataFrame:
-    """BLEU with precisions and chrF in one pass over the texts."""
-    return corpus_scores(segment_stats(df, by, strip_text=strip_text), by)
+def all_metrics(
+    df: DataFrame, by: list[str] | None = None, strip_text: bool = True, score: str | None = None
+) -> DataFrame:
+    """BLEU with precisions and chrF in one pass over the texts.
+
+    ``score`` names a column with a score of each segment, made elsewhere; its mean and population
+    deviation come along.
+    """
+    by = list(by or [])
+    stats = segment_stats(df, [*by, *([score] if score else [])], strip_text=strip_text)
+    found = totals(stats, by, score)
+    extra = ["score_mean", "score_std"] if score else []
+    return found.select(*by, "n_segments", *bleu_columns(), chrf_column(), *extra)
 
 
 def segment_scores(df: DataFrame, by: list[str] | None = None, strip_text: bool = True) -> DataFrame:

@@ -182,3 +182,12 @@ def leakage(df: DataFrame, text: Column) -> DataFrame:
         + F.when(F.col("n_test") > 0, 1).otherwise(0)
     ) > 1
     return seen.where(leaking)
+
+
+def shared_ids(df: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows stand in more than one split, with their rows per split."""
+    per_key = df.groupBy(key).agg(
+        *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")]
+    )
+    used = sum((F.col(f"n_{s}") > 0).cast("int") for s in ("train", "val", "test"))
+    return per_key.where(used > 1)

@@ -262,6 +262,13 @@ SELECT text_hash, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER
   count(*) FILTER (split = 'test') AS n_test
 FROM s GROUP BY text_hash HAVING count(DISTINCT split) > 1"""
 
+ORACLE["split_shared_ids"] = f"""WITH {LINES}, s AS (SELECT doc_id, {hashed('pair_id')} AS split FROM line_pairs)
+SELECT doc_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'val') AS n_val,
+  count(*) FILTER (split = 'test') AS n_test FROM s GROUP BY doc_id HAVING count(DISTINCT split) > 1"""
+
+ORACLE["stored_splits"] = f"""WITH {DOCS}
+SELECT doc_id, split, rk, count(*) OVER (PARTITION BY split) AS n_split FROM docs"""
+
 # --- text ---------------------------------------------------------------------------
 
 ORACLE["tokenize_13a"] = f"""WITH t AS (SELECT doc_id, {tokens_13a('text')} AS t FROM documents)
@@ -373,6 +380,23 @@ ORACLE["masked_metrics"] = f"""WITH {BATCHED},
 decoded AS (SELECT split, pair_id, {decode('inp')} AS prediction, {decode('lab')} AS reference FROM bat),
 {score_ctes('decoded', ['split'], stripped=False)} SELECT split, n_segments, {ALL} FROM scored"""
 
+ORACLE["all_metrics_scored"] = f"""WITH {LINES}, copied AS (SELECT lang, pair_id, source AS prediction,
+  target AS reference, CASE WHEN greatest(length(source), length(target)) > 0 THEN
+    least(length(source), length(target))::DOUBLE / greatest(length(source), length(target)) ELSE 1.0::DOUBLE END AS score
+  FROM line_pairs), {score_ctes('copied', ['lang'])},
+m AS (SELECT lang, round(avg(score), 9) AS score_mean, round(stddev_pop(score), 9) AS score_std FROM copied GROUP BY lang)
+SELECT s.lang, n_segments, {ALL}, score_mean, score_std FROM scored s JOIN m ON m.lang IS NOT DISTINCT FROM s.lang"""
+
+ORACLE["mapped_batches"] = """SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+  len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS n_lines FROM documents"""
+
+ORACLE["metric_hook"] = f"""WITH {LINES}, copied AS (SELECT lang, pair_id, source AS prediction, target AS reference
+  FROM line_pairs), {score_ctes('copied', ['lang'])},
+m AS (SELECT lang, round(avg((prediction = reference)::INT), 9) AS exact,
+  round(sum(octet_length(encode(prediction)))::DOUBLE / sum(octet_length(encode(reference))), 9) AS length_ratio
+  FROM copied GROUP BY lang)
+SELECT lang, n_segments, chrf, exact, length_ratio FROM scored JOIN m USING (lang)"""
+
 # --- run tables ---------------------------------------------------------------------
 
 ORACLE["valid_runs"] = f"WITH {RUNS} SELECT * EXCLUDE (failed) FROM valid"
@@ -390,6 +414,11 @@ ORACLE["best_config"] = f"""WITH {RUNS},
 b AS (SELECT r, alpha, dropout, bleu FROM valid ORDER BY bleu DESC, run_seq LIMIT 1)
 SELECT * FROM b WHERE bleu > 0
 UNION ALL SELECT 16, 32, 0.1::DOUBLE, 0.0::DOUBLE WHERE NOT EXISTS (SELECT 1 FROM b WHERE bleu > 0)"""
+ORACLE["run_csv"] = f"""WITH {RUNS} SELECT data_size::INTEGER AS data_size, bleu, chrf, loss, NULL::BOOLEAN AS failed FROM valid"""
+ORACLE["stored_recommendation"] = f"""WITH {RUNS}, {RECOMMENDED},
+b AS (SELECT r, alpha, dropout FROM valid ORDER BY bleu DESC, run_seq LIMIT 1)
+SELECT 'stored' AS kind, recommended_size AS data_size, r, alpha, dropout FROM rec, b
+UNION ALL SELECT 'absent', 2000::BIGINT, 16, 32, 0.1::DOUBLE"""
 ORACLE["best_config_or_default"] = """SELECT event_id, coalesce((props::JSON ->> 'k')::INTEGER, 16) AS r,
   32 AS alpha, 0.1::DOUBLE AS dropout FROM events"""
 ORACLE["summary_rows"] = f"""WITH {RUNS}, {RECOMMENDED}

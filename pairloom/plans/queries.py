@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.functions.schedule import eval_interval, save_interval, total_steps, warmup_rate
@@ -16,16 +18,29 @@ from pairloom.functions.text import (
     word_count,
     words,
 )
-from pairloom.operators import batching, checkpoints, lexicon, metrics, runs, splits
+from pairloom.operators import batching, checkpoints, hooks, lexicon, metrics, runs, splits
 from pairloom.operators.memory import tm_predict as predict_from_memory
 from pairloom.plans import sweeps
 from pairloom.session import fresh_path, materialize, spread, table
-from pairloom.sources.pairs import conversation_pairs, line_pairs, read_json_lines, write_json_lines
+from pairloom.sources.pairs import (
+    conversation_pairs,
+    line_pairs,
+    read_json_lines,
+    splits_or_create,
+    stored_counts,
+    write_json_lines,
+)
 from pairloom.sources.runs import (
     event_log,
     event_log_stream,
     event_runs,
     parse_config,
+    read_config,
+    read_run_csv,
+    read_size,
+    write_document,
+    write_run_csv,
+    write_scalar,
 )
 from pairloom.streaming import metric_log
 
@@ -145,6 +160,24 @@ def split_leakage(spark, sf_dir):
     return splits.leakage(pairs, F.lower(strip(F.col("source"))))
 
 
+@query
+def split_shared_ids(spark, sf_dir):
+    """Documents whose lines a split by line puts into more than one split."""
+    pairs = splits.hash_split(line_pairs(spark, sf_dir).select("pair_id", "doc_id"), "pair_id")
+    return splits.shared_ids(pairs, "doc_id")
+
+
+@query
+def stored_splits(spark, sf_dir):
+    """Splits created once and read back through their manifest, with the counts it states."""
+    path = fresh_path(spark, "splits")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    for _ in range(2):  # the second call finds what the first has stored
+        stored = splits_or_create(spark, path, lambda: splits.exact_split(docs, "doc_id"))
+    counts = F.create_map(*[F.lit(x) for pair in stored_counts(spark, path).items() for x in pair])
+    return stored.select("doc_id", "split", "rk", counts[F.col("split")].alias("n_split"))
+
+
 # --- text --------------------------------------------------------------------
 
 
@@ -339,6 +372,63 @@ def masked_metrics(spark, sf_dir):
     return metrics.all_metrics(decoded, ["split"], strip_text=False)
 
 
+@query
+def all_metrics_scored(spark, sf_dir):
+    """All line pairs by language, with a per-segment score: how alike the lengths are."""
+    pairs = line_pairs(spark, sf_dir)
+    low, high = (f(F.length("source"), F.length("target")) for f in (F.least, F.greatest))
+    scored = _copy_predictions(pairs.withColumn("score", F.when(high > 0, low / high).otherwise(1.0)), "lang", "score")
+    return metrics.all_metrics(scored, ["lang"], score="score")
+
+
+@query
+def mapped_batches(spark, sf_dir):
+    """A user's batch function on documents: bytes and lines of each text."""
+
+    def measured(batch):
+        text = pc.fill_null(batch.column("text"), "")
+        lines = pc.add(pc.count_substring(text, "\n"), 1)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), lines.cast(pa.int64())],
+            ["doc_id", "n_bytes", "n_lines"],
+        )
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hooks.map_batches(docs, measured, "doc_id long, n_bytes long, n_lines long")
+
+
+@query
+def metric_hook(spark, sf_dir):
+    """A user's metric per language beside chrF: exact matches, and bytes against the reference's."""
+
+    def partial(batch):
+        size = lambda c: pc.binary_length(batch.column(c)).cast(pa.float64())
+        rows = pa.table(
+            {
+                "lang": batch.column("lang"),
+                "same": pc.equal(batch.column("prediction"), batch.column("reference")).cast(pa.float64()),
+                "said": size("prediction"), "wanted": size("reference"),
+                "n": pa.array([1.0] * batch.num_rows),
+            }
+        )
+        sums = rows.group_by("lang").aggregate([(c, "sum") for c in ("same", "said", "wanted", "n")])
+        names = {"same_sum": "same", "said_sum": "said", "wanted_sum": "wanted", "n_sum": "n"}
+        sums = sums.rename_columns([names.get(c, c) for c in sums.column_names])
+        return sums.select(["lang", "same", "said", "wanted", "n"]).combine_chunks().to_batches()[0]
+
+    ratios = {
+        "exact": F.round(F.col("same") / F.col("n"), 9),
+        "length_ratio": F.round(F.col("said") / F.col("wanted"), 9),
+    }
+
+    def length_metric(df, by):
+        rows = df.select("lang", "prediction", "reference")
+        return hooks.batch_metric(rows, by, partial, ["same", "said", "wanted", "n"], ratios)
+
+    pairs = _copy_predictions(line_pairs(spark, sf_dir), "lang")
+    return hooks.evaluate(pairs, [metrics.corpus_chrf, length_metric], ["lang"])
+
+
 # --- run tables --------------------------------------------------------------
 
 
@@ -373,6 +463,28 @@ def best_config(spark, sf_dir):
     return runs.best_config(event_runs(spark, sf_dir))
 
 
+@query
+def run_csv(spark, sf_dir):
+    """Valid runs written as CSV and read back under the run schema; absent columns are null."""
+    path = fresh_path(spark, "runs-csv")
+    write_run_csv(runs.valid_runs(event_runs(spark, sf_dir)).select("data_size", "bleu", "chrf", "loss"), path)
+    return read_run_csv(spark, path)
+
+
+@query
+def stored_recommendation(spark, sf_dir):
+    """Size and configuration written and read back, and the defaults where nothing was written."""
+    every, root = event_runs(spark, sf_dir), fresh_path(spark, "stage")
+    write_scalar(runs.recommendation(every).select("recommended_size"), f"{root}/size")
+    write_document(runs.best_config(every).select("r", "alpha", "dropout"), f"{root}/config")
+    out = None
+    for label, folder in (("stored", root), ("absent", f"{root}/none")):
+        size = read_size(spark, f"{folder}/size").select(F.col("value").alias("data_size"))
+        row = size.crossJoin(read_config(spark, f"{folder}/config")).select(F.lit(label).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out  # each side of the product is one row
+
+
 @query
 def best_config_or_default(spark, sf_dir):
     """Configurations from JSON text; keys that are absent take their default."""

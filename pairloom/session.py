@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,6 +74,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def read_or_default(
+    spark: SparkSession, read: Callable[[], DataFrame], schema: str, rows: list[tuple] | None = None
+) -> DataFrame:
+    """What ``read`` gives, or ``rows`` (none unless given) where its path does not exist.
+
+    Every other fault of reading raises.
+    """
+    try:
+        return read()
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame(rows or [], schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan only if it yields fewer tasks than there are cores.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
 
-from pairloom.session import spread, table
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+
+from pairloom.session import read_or_default, spread, table
 
 PAIR_SCHEMA = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("target", T.StringType())]
@@ -30,34 +32,63 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+MANIFEST_SCHEMA = "data string, committed timestamp, counts map<string, long>"
+
+
 def write_splits(df: DataFrame, path: str) -> DataFrame:
-    """Store a split corpus under one folder and return the counts per split."""
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
-    stored = df.sparkSession.read.parquet(path)
-    return stored.groupBy("split").agg(F.count("*").alias("n"))
+    """Store a split corpus under one folder and return the counts per split.
+
+    The data goes to a folder of its own; only when it is complete, an entry of the manifest
+    names it. What an interrupted write leaves behind is in no entry, so no reader sees it. The
+    counts are taken while writing, the data is not read again.
+    """
+    spark = df.sparkSession
+    name = f"data-{uuid.uuid4().hex}"
+    seen = Observation(name)
+    counted = df.observe(seen, *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    counted.write.partitionBy("split").parquet(f"{path}/{name}")
+    found = seen.get
+    counts = spark.createDataFrame([(s, found[s]) for s in SPLITS], "split string, n long")
+    entry = spark.range(1).select(
+        F.lit(name).alias("data"), F.current_timestamp().alias("committed"),
+        F.create_map(*[F.lit(x) for s in SPLITS for x in (s, found[s])]).alias("counts"),
+    )
+    entry.write.mode("append").json(f"{path}/manifest")
+    return counts.where("n > 0")
+
+
+def _committed(spark: SparkSession, path: str):
+    """The first complete entry of the manifest, or None: one row of names and counts."""
+    entries = read_or_default(
+        spark, lambda: spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest"), MANIFEST_SCHEMA
+    )
+    return entries.orderBy("committed", "data").first()
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """Stored splits; a filter on ``split`` reads only its folder."""
-    if not _exists(spark, path):
+    entry = _committed(spark, path)
+    if entry is None:
         raise FileNotFoundError(f"no stored splits at {path}; create them first")
-    return spark.read.parquet(path)
+    return spark.read.parquet(f"{path}/{entry['data']}")
+
+
+def stored_counts(spark: SparkSession, path: str) -> dict[str, int]:
+    """Rows per split as the manifest says."""
+    entry = _committed(spark, path)
+    return dict(entry["counts"]) if entry else {}
 
 
 def splits_or_create(spark: SparkSession, path: str, create) -> DataFrame:
-    """Read stored splits, or store the result of ``create()`` once."""
-    if not _exists(spark, path):
+    """Read stored splits, or store the result of ``create()`` once.
+
+    Of two writers at the same time both finish, and all readers take the entry committed first.
+    """
+    if _committed(spark, path) is None:
         write_splits(create(), path)
     return read_splits(spark, path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(
-        target
-    )
-
-
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turn and the assistant turn that follows it.
 

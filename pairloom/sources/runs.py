@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pairloom.session import table
+from pairloom.session import read_or_default, table
 
 # Sizes, grid and defaults of the experiment.
 DATA_SIZES = (500, 1000, 2000, 3000, 5000, 10000)
@@ -151,6 +151,22 @@ def read_scalar(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.trim("value").cast("long").alias("value"))
 
 
+def read_size(spark: SparkSession, path: str, default: int = DEFAULT_SIZE) -> DataFrame:
+    """The stored recommendation (value), or the default where there is no such file."""
+    return read_or_default(spark, lambda: read_scalar(spark, path), "value long", [(default,)])
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """Configuration from a stored document (r, alpha, dropout).
+
+    Absent keys, and an absent document as a whole, take their defaults.
+    """
+    found = read_or_default(
+        spark, lambda: read_document(spark, path, CONFIG_SCHEMA), CONFIG_SCHEMA, [(None, None, None)]
+    )
+    return found.select(*[F.coalesce(k, F.lit(v)).alias(k) for k, v in DEFAULT_CONFIG.items()])
+
+
 def parse_config(document: F.Column) -> F.Column:
     """Configuration struct from JSON text, each absent key by its default."""
     parsed = F.from_json(document, CONFIG_SCHEMA, {"mode": "FAILFAST"})

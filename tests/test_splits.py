@@ -81,10 +81,25 @@ def test_stored_splits(spark, tmp_path):
     first = pair_source.splits_or_create(spark, path, create)
     second = pair_source.splits_or_create(spark, path, create)
     assert len(calls) == 1 and first.count() == second.count() == 50
+    assert pair_source.stored_counts(spark, path) == {"train": 40, "val": 5, "test": 5}
     plan = second.where("split = 'val'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
+def test_interrupted_write_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    whole = splits.exact_split(corpus(spark, 20))
+    broken = whole.withColumn("source", F.when(F.col("rk") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("source")))
+    with pytest.raises(Exception, match="lost"):
+        pair_source.write_splits(broken, path)
+    (tmp_path / "splits" / "data-half" / "split=train").mkdir(parents=True)
+    with pytest.raises(FileNotFoundError):
+        pair_source.read_splits(spark, path)
+    assert pair_source.splits_or_create(spark, path, lambda: whole).count() == 20
+    pair_source.write_splits(whole.limit(3), path)
+    assert pair_source.read_splits(spark, path).count() == 20
+
+
 def test_json_sources(spark, tmp_path):
     array = tmp_path / "pairs.json"
     array.write_text('[{"source": "hå", "target": "ha"}, {"target": "only"}, {"source": null}]', encoding="utf-8")
