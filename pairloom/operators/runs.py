@@ -60,23 +60,23 @@ def best_config(runs: DataFrame) -> DataFrame:
 
 
 def recommendation(runs: DataFrame, share: float = NEAR_BEST) -> DataFrame:
-    """One row: size of the best run and smallest size that scores near it."""
-    valid = valid_runs(runs)
-    optimal = valid.agg(
-        F.max("bleu").alias("best"),
-        F.max_by("data_size", F.struct("bleu", -F.col("run_seq"))).alias("optimal"),
-    )
-    # The best score per size is enough to find the smallest near-best size.
-    smallest = (
-        valid.groupBy("data_size")
-        .agg(F.max("bleu").alias("bleu"))
-        .where(F.col("bleu") >= valid.agg(F.max("bleu")).scalar() * F.lit(share))
-        .agg(F.min("data_size"))
+    """One row: size of the best run and smallest size that scores near it.
+
+    One scan: each size keeps its best score and the first run that has it, which is enough for
+    both answers; the second step sees one row per size.
+    """
+    first = F.struct("bleu", (-F.col("run_seq")).alias("back"))
+    per_size = valid_runs(runs).groupBy("data_size").agg(F.max(first).alias("top"))
+    ranked = per_size.withColumn("best", F.max("top.bleu").over(Window.partitionBy(F.lit(1))))
+    found = ranked.agg(
+        F.max("best").alias("best"),
+        F.max_by("data_size", "top").alias("optimal"),
+        F.min(F.when(F.col("top.bleu") >= F.col("best") * F.lit(share), F.col("data_size"))).alias("near"),
     )
     scored = F.coalesce(F.col("best") > 0, F.lit(False))
-    return optimal.select(
+    return found.select(
         F.when(scored, F.col("optimal")).otherwise(SMALLEST_SIZE).cast("long").alias("optimal_size"),
-        F.when(scored, smallest.scalar()).otherwise(SMALLEST_SIZE).cast("long").alias("recommended_size"),
+        F.when(scored, F.col("near")).otherwise(SMALLEST_SIZE).cast("long").alias("recommended_size"),
     )
 
 
@@ -103,12 +103,10 @@ def summary_document(runs: DataFrame, max_runs: int) -> DataFrame:
 
 def summary_rows(runs: DataFrame) -> DataFrame:
     """The recommendation beside every run, one row per run."""
-    rec = recommendation(runs)
-    return runs.select(
-        "run_seq", "data_size", "bleu", "chrf", "loss", "failed",
-        rec.select("optimal_size").scalar().alias("optimal_size"),
-        rec.select("recommended_size").scalar().alias("recommended_size"),
-    )
+    fields = ["optimal_size", "recommended_size"]
+    rec = recommendation(runs).select(F.struct(*fields).alias("rec"))
+    columns = ["run_seq", "data_size", "bleu", "chrf", "loss", "failed"]
+    return runs.select(*columns, rec.scalar().alias("rec")).select(*columns, *[f"rec.{f}" for f in fields])
 
 
 def all_runs(parts: list[DataFrame]) -> DataFrame:
