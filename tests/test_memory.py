@@ -110,6 +110,23 @@ def test_all_scores_and_tiers_in_one_search(spark, small_blocks):
     assert got == want
 
 
+def test_a_later_search_goes_on_from_a_former(spark, small_blocks):
+    train = [(i + 1, s, "") for i, s in enumerate(texts(5, 90, 0.2))]
+    queries = [(f"q{i}", s) for i, s in enumerate(texts(6, 30, 0.2))]
+    sources, asked = frames(spark, train, queries)
+    first, _ = nearest.best_matches(sources, asked, [nearest.Wanted(0)], [40])
+    best, sets = nearest.best_matches(
+        sources.where("rk > 40"), asked, [nearest.Wanted(0)], [60, 90], first.drop("tier")
+    )
+    got = {(r["pair_id"], r["tier"]): r["rk"] for r in sets.join(best, ["gram_order", "query_key"]).collect()}
+    want = {
+        (pid, tier): found[1]
+        for tier, upto in enumerate((60, 90))
+        for pid, found in brute(train, queries, upto=upto).items() if found
+    }
+    assert got == want
+
+
 def test_bounds_spare_visits(spark, small_blocks, monkeypatch):
     """A query with a copy among the sources visits no block of other sizes."""
     train = [(i + 1, " ".join(f"w{j}" for j in range(i % 40, i % 40 + 1 + i // 4)), "") for i in range(160)]

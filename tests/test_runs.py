@@ -225,6 +225,10 @@ def test_lazy_phases_stop(spark):
     both = sweeps.phased_sweep(memory, queries, phases, {"1": None})
     assert sorted(r["phase"] for r in both.collect()) == ["1", "2"]
     assert sweeps.sweep_sizes(700) == [(1, 500), (7, 700)]
+    whole = sweeps.scaling_sweep(memory, queries, [(1, 5), (2, 20)]).orderBy("run_seq").collect()
+    assert [r.asDict() for r in whole] == [r.asDict() for r in both.drop("phase").orderBy("run_seq").collect()]
+    with pytest.raises(ValueError):
+        sweeps.phased_sweep(memory, queries, {"1": [(1, 9)], "2": [(2, 5)]}, {})
 
 
 @pytest.mark.parametrize("as_folder", [False, True])
