@@ -22,6 +22,11 @@ from pairloom.operators.scans import scan_batches
 from pairloom.session import materialize
 
 
+def _sum_before(column: str, ordered) -> Column:
+    """Sum of the rows before, 0 for the first."""
+    return F.coalesce(F.sum(column).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def bucketed_rank(
     df: DataFrame,
     buckets: list[str],
@@ -32,19 +37,29 @@ def bucketed_rank(
     """1-based rank by ``buckets`` then ``order``, plus the row count ``<out>_of``.
 
     With ``per`` the ranks start again for each of its values. The order inside
-    a bucket must be total. Only the bucket counts pass through one task.
+    a bucket must be total. Bucket counts are added up in two levels: over the
+    values of the first bucket column, and inside each of them over the others,
+    so a task sees no more than one level's counts.
     """
     per = list(per or [])
     keys = [*per, *buckets]
+    head, rest = [*per, buckets[0]], buckets[1:]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ordered = Window.partitionBy(*per).orderBy(*buckets)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    ordered = Window.partitionBy(*per).orderBy(buckets[0])
     everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select(
-        *keys,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    offsets = counts.groupBy(*head).agg(F.sum("_n").alias("_n")).select(
+        *head,
+        _sum_before("_n", ordered).alias("_before"),
         F.sum("_n").over(everything).alias(f"{out}_of"),
     )
+    if rest:
+        nested = Window.partitionBy(*head).orderBy(*rest)
+        offsets = (
+            counts.select(*keys, _sum_before("_n", nested).alias("_inner"))
+            .join(offsets, head)
+            .withColumn("_before", F.col("_before") + F.col("_inner"))
+            .drop("_inner")
+        )
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.join(offsets, keys)
