@@ -276,3 +276,39 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     )
     assert run.returncode == 0, run.stderr[-2000:]
     assert run.stdout.split()[-1] == "1"
+
+
+def test_absent_documents_give_defaults(spark, tmp_path):
+    assert source.read_size(spark, f"{tmp_path}/none").first()["value"] == 2000
+    assert tuple(source.read_config(spark, f"{tmp_path}/none").first()) == (16, 32, 0.1)
+    (tmp_path / "part.json").write_text('{"r": 8}')
+    assert tuple(source.read_config(spark, f"{tmp_path}/part.json").first()) == (8, 32, 0.1)
+    (tmp_path / "bad.json").write_text("{not json")
+    with pytest.raises(Exception):
+        source.read_config(spark, f"{tmp_path}/bad.json").collect()
+
+
+def test_metric_of_batches_is_added_up_by_key(spark):
+    rows = [("a", "1", "x y"), ("a", "2", "x"), ("b", "3", ""), (None, "4", "x y z")]
+    frame = spark.createDataFrame(rows, "run string, pair_id string, text string").repartition(4)
+
+    def partial(batch):
+        seen = {}
+        for run, text in zip(batch.column("run").to_pylist(), batch.column("text").to_pylist()):
+            words, n = seen.get(run, (0.0, 0.0))
+            seen[run] = (words + len(text.split()), n + 1)
+        columns = [pa.array(list(seen), pa.string())]
+        columns += [pa.array([v[i] for v in seen.values()], pa.float64()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, ["run", "words", "n"])
+
+    found = hooks.batch_metric(frame, ["run"], partial, ["words", "n"], {"mean": F.col("words") / F.col("n")})
+    assert {r["run"]: r["mean"] for r in found.collect()} == {"a": 1.5, "b": 0.0, None: 3.0}
+
+
+def test_score_column_comes_along(spark):
+    rows = [("a", "1", "x y", "x y", 0.5), ("a", "2", "x", "z", 1.5), ("b", "3", "q", "q", None)]
+    frame = spark.createDataFrame(rows, "run string, pair_id string, prediction string, reference string, s double")
+    got = {r["run"]: r for r in metrics.all_metrics(frame, ["run"], score="s").collect()}
+    assert (got["a"]["score_mean"], got["a"]["score_std"], got["b"]["score_mean"]) == (1.0, 0.5, 0.0)
+    plain = metrics.all_metrics(frame, ["run"]).collect()
+    assert all(got[r["run"]][c] == r[c] for r in plain for c in ("bleu", "chrf", "n_segments"))
