@@ -533,9 +533,14 @@ ORACLE["baseline_comparison"] = f"""WITH {TEST_PRED},
 sys AS (SELECT 'memory' AS system, pair_id, prediction, reference FROM pred
   UNION ALL SELECT 'copy', pair_id, source, target FROM corpus WHERE split = 'test'),
 {score_ctes('sys', ['system'])},
-b AS (SELECT * FROM scored WHERE system = 'copy'), f AS (SELECT * FROM scored WHERE system = 'memory')
+alike AS (SELECT system, round(avg(CASE WHEN greatest(length(prediction), length(reference)) > 0 THEN
+    least(length(prediction), length(reference))::DOUBLE / greatest(length(prediction), length(reference))
+    ELSE 1.0::DOUBLE END), 9) AS score FROM sys GROUP BY system),
+both_ AS (SELECT * FROM scored JOIN alike USING (system)),
+b AS (SELECT * FROM both_ WHERE system = 'copy'), f AS (SELECT * FROM both_ WHERE system = 'memory')
 SELECT 'BLEU' AS label, b.bleu AS baseline, f.bleu AS final, round(f.bleu - b.bleu, 9) AS gain FROM b, f
-UNION ALL SELECT 'CHRF', b.chrf, f.chrf, round(f.chrf - b.chrf, 9) FROM b, f"""
+UNION ALL SELECT 'CHRF', b.chrf, f.chrf, round(f.chrf - b.chrf, 9) FROM b, f
+UNION ALL SELECT 'SCORE_MEAN', b.score, f.score, round(f.score - b.score, 9) FROM b, f"""
 
 _SWEEP = f"""{SIZES}, {overlaps("split = 'val'")},
 near AS (SELECT *, k::DOUBLE / (na + nb - k) AS sim FROM pairs),

@@ -372,13 +372,17 @@ def masked_metrics(spark, sf_dir):
     return metrics.all_metrics(decoded, ["split"], strip_text=False)
 
 
+def _length_score():
+    """A score of a segment that stands for a learnt one: how alike the two lengths are."""
+    low, high = (f(F.length("prediction"), F.length("reference")) for f in (F.least, F.greatest))
+    return F.when(high > 0, low / high).otherwise(1.0)
+
+
 @query
 def all_metrics_scored(spark, sf_dir):
     """All line pairs by language, with a per-segment score: how alike the lengths are."""
-    pairs = line_pairs(spark, sf_dir)
-    low, high = (f(F.length("source"), F.length("target")) for f in (F.least, F.greatest))
-    scored = _copy_predictions(pairs.withColumn("score", F.when(high > 0, low / high).otherwise(1.0)), "lang", "score")
-    return metrics.all_metrics(scored, ["lang"], score="score")
+    copied = _copy_predictions(line_pairs(spark, sf_dir), "lang")
+    return metrics.all_metrics(copied.withColumn("score", _length_score()), ["lang"], score="score")
 
 
 @query
@@ -762,10 +766,9 @@ def baseline_comparison(spark, sf_dir):
     both = _copy_predictions(test).withColumn("system", F.lit("copy")).unionByName(
         remembered.withColumn("system", F.lit("memory"))
     )
-    names = ["bleu", "chrf"]
-    scores = materialize(
-        metrics.all_metrics(both, ["system"]).unpivot(["system"], names, "metric", "value"), "scores"
-    )
+    names = ["bleu", "chrf", "score_mean"]
+    rated = metrics.all_metrics(both.withColumn("score", _length_score()), ["system"], score="score")
+    scores = materialize(rated.unpivot(["system"], names, "metric", "value"), "scores")
     listed = spark.createDataFrame([(n,) for n in names], "metric string")
     return runs.compare_scores(
         listed, scores.where("system = 'copy'"), scores.where("system = 'memory'")
