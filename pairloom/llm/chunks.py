@@ -105,10 +105,15 @@ def bucket_count(chunks: DataFrame, bytes_a_bucket: int) -> int:
     return max(1, -(-n_bytes // bytes_a_bucket))
 
 
-def by_chunk(answers: DataFrame, columns: list[str]) -> DataFrame:
-    """chunk, answers: the answers of all buckets to a chunk, no more than its own questions."""
-    return (
-        answers.where("chunk IS NOT NULL")
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("bucket", *columns)).alias("answers"))
+def by_chunk(answers: DataFrame, columns: list[str], chunks_a_task: int | None = None) -> DataFrame:
+    """chunk, answers: the answers of all buckets to a chunk, no more than its own questions.
+
+    With ``chunks_a_task`` the number of tasks follows the number of chunks, not the setting.
+    """
+    own = answers.where("chunk IS NOT NULL")
+    if chunks_a_task:
+        chunks = own.agg(F.approx_count_distinct("chunk").alias("n")).first()["n"]
+        own = own.repartition(max(1, -(-chunks // chunks_a_task)), "chunk")
+    return own.groupBy("chunk").agg(
+        F.collect_list(F.struct("bucket", *columns)).alias("answers")
     )

@@ -1,24 +1,26 @@
 """Language-model scores by a weighted backoff automaton learnt from the corpus.
 
-The model is a smoothed bigram model: order two, with no longer histories, so that no chain of
-failure arcs has more than one step. Its states are the words that occur as histories, and one
-root; a seen bigram u w is an arc of state u with weight log P(w | u), a word an arc of the root,
-and every state has a failure arc to the root with its backoff weight. A text is scored by one
-traversal from left to right: the state is the last known word, and a word without an arc there
-follows the failure arc first.
-
-  P(w)     = (c(w) - D) / N, and D V / N for the one event "unknown"; D = n1 / (n1 + 2 n2), or
-             0.5 where no word occurs twice, as D = 1 would make words that occur once impossible
-  P(w | u) = (c(u w) + k P(w)) / (c(u) + k), k = c(u) ** beta
-
-k is the expected number of different words after u. beta is fitted so that these add up to the
-number of different bigrams, counted over the whole corpus.
+The model is a smoothed trigram model. Its states are the pairs of words and the words that occur
+as histories, and one root. A seen trigram t u w is an arc of state (t, u), a seen bigram u w an
+arc of state u, a word an arc of the root. State (t, u) has a failure arc to u, u one to the root,
+each with a backoff weight. A text is scored by one traversal from left to right, which starts in
+the state of the beginning: a step follows failure arcs until its state has an arc for the word
+(up to two; a word that the root does not know is its event "unknown"), adds up the log weights,
+and the arc leads to the state of the longest known history, where the next step starts.
+
+  P(w)       = (c(w) - D) / N, and D V / N for the one event "unknown"; D = n1 / (n1 + 2 n2), or
+               0.5 where no word occurs twice, as D = 1 would make words that occur once impossible
+  P(w | u)   = (c(u w) + k P(w)) / (c(u) + k), k = c(u) ** beta1
+  P(w | t u) = (c(t u w) + k P(w | u)) / (c(t u) + k), k = c(t u) ** beta2
+
+k is the expected number of different words after a history. Each beta is fitted so that these
+add up to the number of different n-grams that are one word longer, counted over the whole corpus.
 
 Counts and model never stand in one place. Texts are packed into chunks of a few megabytes and
-stored. Each chunk asks for its different words and bigrams: sorted hashes, cut into buckets by
-value, as compressed blobs. A bucket adds up the counts of all chunks and answers each with the
-totals in its own order; answers meet their chunk again for scoring. What moves is each chunk's
-different n-grams once, a few bytes each, however frequent they are.
+stored. Each chunk asks for its different words, bigrams and trigrams: sorted hashes, cut into
+buckets by value, as compressed blobs. A bucket adds up the counts of all chunks and answers each
+with the totals in its own order; answers meet their chunk again for scoring. What moves is each
+chunk's different n-grams once, a few bytes each, however frequent they are.
 """
 
 from __future__ import annotations
@@ -51,6 +53,11 @@ BETAS = np.linspace(0.3, 1.0, 57)
 # Hashes of the beginning and the end of a text.
 BEGIN = np.uint64(0x517CC1B727220A95)
 END = np.uint64(0x2545F4914F6CDD1D)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+# N-grams by their length, as named in the tables of requests and answers.
+ORDERS = ("words", "pairs", "triples")
+BUCKETS_A_TASK = 2
+CHUNKS_A_TASK = 4
 
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,45 +76,63 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return token, history, text
 
 
-def bigrams(token: np.ndarray, history: np.ndarray, drop_bits: int) -> np.ndarray:
-    """Hashes of history and token, without their lowest bits."""
-    mixed = kernels.mix(history * np.uint64(0x9E3779B97F4A7C15) + token)
-    return without_bits(mixed, drop_bits)
+def ngrams(
+    token: np.ndarray, history: np.ndarray, drop_bits: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs, which steps have two words before them, and keys of their triples.
+
+    Keys are hashes without their lowest bits; the lowest bit kept of a pair tells whether it ends
+    a text, as such a pair is no history.
+    """
+    whole = kernels.mix(history * FACTOR + token)
+    ends = (token == END).astype(np.uint64) << np.uint64(drop_bits)
+    pairs = without_bits(whole, drop_bits + 1) | ends
+    inner = np.flatnonzero(history != BEGIN)
+    return pairs, inner, without_bits(kernels.mix(whole[inner - 1] * FACTOR + token[inner]), drop_bits)
+
+
+def ends_text(pairs: np.ndarray, drop_bits: int) -> np.ndarray:
+    return (pairs >> np.uint64(drop_bits)) & np.uint64(1) == 1
 
 
 def requests(chunks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, words, word_counts, pairs, pair_counts: counts of the learning texts."""
+    """bucket, chunk, and per order keys and counts: those of the learning texts.
+
+    A chunk sends nothing to a bucket that holds none of its n-grams.
+    """
     low_bits = spare_bits(buckets)
+    names = [f"{order}{part}" for order in ORDERS for part in ("", "_counts")]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 token, history, text = tokens(*chunk_bytes(row["data"], row["sizes"]))
                 learn = np.array(row["marks"], float)[text]
+                pairs, inner, triples = ngrams(token, history, low_bits)
                 sides = []
-                for keys in (token, bigrams(token, history, low_bits)):
+                for keys, weights in ((token, learn), (pairs, learn), (triples, learn[inner])):
                     distinct, which = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(which, weights=learn, minlength=len(distinct))
-                    sides.append((distinct, counts.astype(np.uint64), bucket_ends(distinct, buckets)))
-                cells: list[list] = [[], [], [], [], [], []]
-                first = [0, 0]
+                    counts = np.bincount(which, weights=weights, minlength=len(distinct))
+                    ends = [0, *bucket_ends(distinct, buckets).tolist()]
+                    sides.append((distinct, counts.astype(np.uint64), ends))
+                cells: list[list] = [[] for _ in range(2 + len(names))]
                 for bucket in range(buckets):
-                    parts = []
-                    for i, (distinct, counts, ends) in enumerate(sides):
-                        own = slice(first[i], ends[bucket])
-                        parts += [pack_sorted(distinct[own]), pack(counts[own])]
-                        first[i] = ends[bucket]
-                    for cell, value in zip(cells, (bucket, row["chunk"], *parts), strict=True):
+                    own = [slice(ends[bucket], ends[bucket + 1]) for _, _, ends in sides]
+                    if all(o.start == o.stop for o in own):
+                        continue
+                    blobs = []
+                    for (distinct, counts, _), o in zip(sides, own, strict=True):
+                        blobs += [pack_sorted(distinct[o]), pack(counts[o])]
+                    for cell, value in zip(cells, (bucket, row["chunk"], *blobs), strict=True):
                         cell.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64()),
                      *[pa.array(c, pa.binary()) for c in cells[2:]]],
-                    ["bucket", "chunk", "words", "word_counts", "pairs", "pair_counts"],
+                    ["bucket", "chunk", *names],
                 )
 
     return chunks.select("chunk", "marks", "sizes", "data").mapInArrow(
-        asked,
-        "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary",
+        asked, "bucket int, chunk long, " + ", ".join(f"{n} binary" for n in names)
     )
 
 
@@ -121,45 +146,62 @@ def _totals(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndar
     return distinct, total, [pack(t.astype(np.uint64)) for t in np.split(total[which], ends)]
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """bucket, chunk, word_counts, pair_counts: totals for each asker; stats: one row a bucket.
+def _powers(counts: np.ndarray) -> np.ndarray:
+    """For each of BETAS the sum of the counts to that power."""
+    values, times = np.unique(counts, return_counts=True)
+    return (values[:, None] ** BETAS * times[:, None]).sum(axis=0)
+
 
-    stats holds the tokens, the different words, those that occur once and twice, the different
-    bigrams, and for each of BETAS the sum of c(u) ** beta over all words u and the beginning.
+def answers(asked: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk and per order counts: totals for each asker; stats: one row a bucket.
+
+    stats holds the tokens, the different words, those that occur once and twice, the texts, the
+    different bigrams and trigrams, and for each of BETAS the sum of c ** beta over all histories
+    of one word (with the beginning) and of two words.
     """
+    low_bits = spare_bits(buckets)
+    names = [f"{order}_counts" for order in ORDERS]
 
     def summed(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         chunk = group.column("chunk").to_pylist()
-        columns = [group.column(c).to_pylist() for c in ("words", "word_counts", "pairs", "pair_counts")]
-        words, total, word_answers = _totals(columns[0], columns[1])
-        _, pair_total, pair_answers = _totals(columns[2], columns[3])
-        seen = total[total > 0]
-        # As histories, the end of texts stands for their beginning: both occur once a text.
-        powers = (seen[:, None] ** BETAS).sum(axis=0) if len(seen) else np.zeros(len(BETAS))
+        given, found = [], []
+        for order in ORDERS:
+            blobs = (group.column(c).to_pylist() for c in (order, f"{order}_counts"))
+            distinct, total, answer = _totals(*blobs)
+            given.append(answer)
+            found.append((distinct[total > 0], total[total > 0]))
+        (words, word_totals), (pairs, pair_totals), (triples, _) = found
         stats = [
-            float(seen.sum()),
-            float(len(seen)),
-            float(np.count_nonzero(seen == 1)),
-            float(np.count_nonzero(seen == 2)),
-            float(np.count_nonzero(pair_total)),
-            float(total[words == END].sum()),
-            *powers.tolist(),
+            float(word_totals.sum()),
+            float(len(words)),
+            float(np.count_nonzero(word_totals == 1)),
+            float(np.count_nonzero(word_totals == 2)),
+            # As histories, the end of texts stands for their beginning: both occur once a text.
+            float(word_totals[words == END].sum()),
+            float(len(pairs)),
+            float(len(triples)),
+            *_powers(word_totals).tolist(),
+            *_powers(pair_totals[~ends_text(pairs, low_bits)]).tolist(),
         ]
         n = len(chunk)
-        return pa.table(
-            {
-                "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-                "chunk": pa.array([*chunk, None], pa.int64()),
-                "word_counts": pa.array([*word_answers, None], pa.binary()),
-                "pair_counts": pa.array([*pair_answers, None], pa.binary()),
-                "stats": pa.array([None] * n + [stats], pa.list_(pa.float64())),
-            }
+        columns = {
+            "bucket": pa.array([bucket] * (n + 1), pa.int32()),
+            "chunk": pa.array([*chunk, None], pa.int64()),
+        }
+        columns |= {c: pa.array([*a, None], pa.binary()) for c, a in zip(names, given, strict=True)}
+        columns["stats"] = pa.array([None] * n + [stats], pa.list_(pa.float64()))
+        return pa.table(columns)
+
+    # Enough tasks that what one reads does not grow with the input.
+    tasks = -(-buckets // BUCKETS_A_TASK)
+    return (
+        asked.repartition(tasks, "bucket")
+        .groupBy("bucket")
+        .applyInArrow(
+            summed,
+            "bucket int, chunk long, " + "".join(f"{n} binary, " for n in names) + "stats array<double>",
         )
-
-    return asked.groupBy("bucket").applyInArrow(
-        summed,
-        "bucket int, chunk long, word_counts binary, pair_counts binary, stats array<double>",
     )
 
 
@@ -167,10 +209,14 @@ class Smoothing:
     """The numbers of the whole corpus that turn counts into weights."""
 
     def __init__(self, stats: np.ndarray | None):
-        stats = np.zeros(6 + len(BETAS)) if stats is None else stats
-        self.tokens, self.words, once, twice, pairs, self.texts = stats[:6]
+        n = len(BETAS)
+        stats = np.zeros(7 + 2 * n) if stats is None else stats
+        self.tokens, self.words, once, twice, self.texts, pairs, triples = stats[:7]
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        self.beta = float(np.interp(pairs, stats[6:], BETAS)) if self.tokens else 1.0
+        self.betas = [
+            float(np.interp(longer, sums, BETAS)) if longer else 1.0
+            for longer, sums in ((pairs, stats[7 : 7 + n]), (triples, stats[7 + n :]))
+        ]
 
     def root(self, count: np.ndarray) -> np.ndarray:
         """P(w) of words with these counts; 0 is the event of an unknown word."""
@@ -179,49 +225,76 @@ class Smoothing:
         known = count - self.discount
         return np.where(count > 0, known, self.discount * self.words) / self.tokens
 
-    def failure(self, history: np.ndarray) -> np.ndarray:
-        """Backoff weight of states with these counts; the root's own (0) is 1."""
-        expected = np.maximum(history, 1) ** self.beta
-        return np.where(history > 0, expected / (history + expected), 1.0)
+    def failure(self, order: int, history: np.ndarray) -> np.ndarray:
+        """Backoff weight of states of ``order`` words that occur ``history`` times."""
+        expected = history ** self.betas[order - 1]
+        return expected / (history + expected)
 
-    def arc(self, pair: np.ndarray, history: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """P(w | u) of seen bigrams."""
-        expected = np.maximum(history, 1) ** self.beta
-        return (pair + expected * root) / (np.maximum(history, 1) + expected)
+    def arc(self, order: int, count: np.ndarray, history: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Weight of the arcs of such states; ``lower`` is the word's weight one state further."""
+        expected = history ** self.betas[order - 1]
+        return (count + expected * lower) / (history + expected)
 
 
 def traverse(
-    smoothing: Smoothing, word: np.ndarray, history: np.ndarray, pair: np.ndarray
+    smoothing: Smoothing,
+    word: np.ndarray,
+    history: np.ndarray,
+    pair: np.ndarray,
+    context: np.ndarray,
+    triple: np.ndarray,
 ) -> np.ndarray:
-    """log10 weight of each step: the state's arc if it has one, else failure arc and root arc.
+    """log10 weight of each step of the traversal.
 
-    ``history`` is the count of the word whose state the step starts in, 0 at the root.
+    The state that a step starts in is the one its predecessor's arc led to: two words if they
+    are a seen pair (``context`` counts it), else the last word if it is known (``history``), else
+    the root, with both 0. ``word``, ``pair`` and ``triple`` count the step's n-grams: an arc exists
+    where the count is not 0. All steps follow their failure arcs at once, an order at a time.
     """
+    state = np.where(context > 0, 2, np.where(history > 0, 1, 0))
     root = smoothing.root(word)
-    has_arc = (pair > 0) & (history > 0)
-    weight = np.where(has_arc, smoothing.arc(pair, history, root), smoothing.failure(history) * root)
+    counts = {1: (pair, history), 2: (triple, context)}
+    # The word's weight from the state of one word on, which arcs of two words are mixed with.
+    inner = root.copy()
+    has = (history > 0) & (pair > 0)
+    inner[has] = smoothing.arc(1, pair[has], history[has], root[has])
+    lower = {1: root, 2: inner}
+    weight, open_ = np.ones(len(word)), np.ones(len(word), bool)
+    for order in (2, 1):
+        count, seen = counts[order]
+        stands = open_ & (state == order)
+        arcs, fails = stands & (count > 0), stands & (count == 0)
+        weight[arcs] *= smoothing.arc(order, count[arcs], seen[arcs], lower[order][arcs])
+        weight[fails] *= smoothing.failure(order, seen[fails])
+        open_[arcs] = False
+        # The state one word shorter is known whenever the longer one is.
+        state[fails] = order - 1
+    weight[open_] *= root[open_]
     return np.log10(weight)
 
 
 def _scored(chunks: DataFrame, answered: DataFrame, buckets: int, smoothing: Smoothing) -> DataFrame:
     low_bits = spare_bits(buckets)
     base_total = smoothing.tokens + smoothing.words + 1
+    columns = [f"{order}_counts" for order in ORDERS]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 token, history, text = tokens(*chunk_bytes(row["data"], row["sizes"]))
                 found = sorted(row["answers"], key=lambda a: a["bucket"])
-                totals = [
-                    np.concatenate([unpack(a[c]) for a in found]).astype(np.float64)
-                    for c in ("word_counts", "pair_counts")
-                ]
-                words, word_at = np.unique(token, return_inverse=True)
-                _, pair_at = np.unique(bigrams(token, history, low_bits), return_inverse=True)
-                count, pair = totals[0][word_at], totals[1][pair_at]
-                before = np.concatenate([[0.0], count[:-1]])
-                before[history == BEGIN] = smoothing.texts
-                steps = traverse(smoothing, count, before, pair)
+                pairs, inner, triples = ngrams(token, history, low_bits)
+                per_step = []
+                for column, keys in zip(columns, (token, pairs, triples), strict=True):
+                    totals = np.concatenate([unpack(a[column]) for a in found]).astype(np.float64)
+                    _, at = np.unique(keys, return_inverse=True)
+                    per_step.append(totals[at])
+                count, pair, inner_triple = per_step
+                before, context, triple = (np.zeros(len(token)) for _ in range(3))
+                before[:] = smoothing.texts
+                before[inner], context[inner] = count[inner - 1], pair[inner - 1]
+                triple[inner] = inner_triple
+                steps = traverse(smoothing, count, before, pair, context, triple)
                 n = len(row["sizes"])
                 per_text = lambda x: np.bincount(text, weights=x, minlength=n)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
@@ -237,7 +310,7 @@ def _scored(chunks: DataFrame, answered: DataFrame, buckets: int, smoothing: Smo
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    per_chunk = by_chunk(answered, ["word_counts", "pair_counts"])
+    per_chunk = by_chunk(answered, columns, CHUNKS_A_TASK)
     return (
         chunks.select("chunk", "doc_ids", "marks", "sizes", "data")
         .join(per_chunk, "chunk")
@@ -262,7 +335,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     chunks = text_chunks(docs, CHUNK_BYTES, F.coalesce(remainder != held, F.lit(True)))
     buckets = bucket_count(chunks, BUCKET_BYTES)
-    answered = materialize(answers(requests(chunks, buckets)), "answers")
+    answered = materialize(answers(requests(chunks, buckets), buckets), "answers")
     stats = (
         answered.where("stats IS NOT NULL")
         .select(F.posexplode("stats").alias("place", "value"))

@@ -338,25 +338,29 @@ def test_pii_of_very_long_texts(spark):
 
 
 def _model(rows):
-    counts, pairs, n_texts = collections.Counter(), collections.Counter(), 0
+    counts, pairs, triples, n_texts = *(collections.Counter() for _ in range(3)), 0
     for doc, text in rows:
         if doc is None or zlib.crc32(str(doc).encode()) % 7 != 2:
             t = [*words(text), "</s>"]
             counts.update(t)
             pairs.update(zip(["<s>", *t[:-1]], t, strict=True))
+            triples.update(zip(["<s>", *t[:-2]], t[:-1], t[1:], strict=True) if len(t) > 1 else ())
             n_texts += 1
-    return counts, pairs, n_texts
+    return counts, pairs, triples, n_texts
 
 
 def test_scores_equal_brute_force(docs, corpus, monkeypatch):
     monkeypatch.setattr(language_model, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(language_model, "BUCKET_BYTES", 4000)
-    counts, pairs, n_texts = _model(corpus)
+    counts, pairs, triples, n_texts = _model(corpus)
     total, distinct = sum(counts.values()), len(counts)
     once, twice = (sum(c == n for c in counts.values()) for n in (1, 2))
     discount = once / (once + 2 * twice) if once else 0.5
     sums = [sum(c**b for c in counts.values()) for b in language_model.BETAS]
     beta = float(np.interp(len(pairs), sums, language_model.BETAS))
+    histories = {p: c for p, c in pairs.items() if p[1] != "</s>"}
+    sums = [sum(c**b for c in histories.values()) for b in language_model.BETAS]
+    second = float(np.interp(len(triples), sums, language_model.BETAS))
 
     def root(w):
         return (counts[w] - discount if counts[w] else discount * distinct) / total
@@ -366,16 +370,32 @@ def test_scores_equal_brute_force(docs, corpus, monkeypatch):
         expected = history**beta
         return (pairs[u, w] + expected * root(w)) / (history + expected) if history else root(w)
 
+    def two_steps(t, u, w):
+        history = pairs[t, u]
+        expected = history**second
+        if not history:
+            return step(u, w)
+        return (triples[t, u, w] + expected * step(u, w)) / (history + expected)
+
+    def log_probability(t):
+        whole = math.log10(step("<s>", t[0]))
+        if len(t) > 1:
+            for gram in zip(["<s>", *t[:-2]], t[:-1], t[1:], strict=True):
+                whole += math.log10(two_steps(*gram))
+        return whole
+
     known = [*counts, "never seen"]
     assert sum(map(root, known)) == pytest.approx(1)
     for u in ["<s>", *list(counts)[:5]]:
         if u != "</s>":
             assert sum(step(u, w) for w in known) == pytest.approx(1)
+    for t, u in list(histories)[:5]:
+        assert sum(two_steps(t, u, w) for w in known) == pytest.approx(1)
     want = []
     for doc, text in corpus:
         t = [*words(text), "</s>"]
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in t)
-        score = sum(math.log10(step(u, w)) for u, w in zip(["<s>", *t[:-1]], t, strict=True))
+        score = log_probability(t)
         held = doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2
         row = (doc, held, len(t), sum(counts[w] > 0 for w in t), total)
         want.append((*row, pytest.approx(base), pytest.approx(score)))
@@ -389,9 +409,26 @@ def test_words_that_occur_once_are_possible(spark):
     rows = score_texts(spark.createDataFrame([(0, "a b c"), (2, "c b a")], SCHEMA), folds=1, held=1)
     for rows in (rows.collect(), score_texts(spark.createDataFrame([(0, "a b c")], SCHEMA), 1, 1).collect()):
         assert all(math.isfinite(r.score) for r in rows)
-    once = language_model.Smoothing(np.array([3.0, 3.0, 3.0, 0.0, 3.0, 1.0, *language_model.BETAS]))
+    betas = language_model.BETAS
+    once = language_model.Smoothing(np.array([3.0, 3.0, 3.0, 0.0, 1.0, 3.0, 3.0, *betas, *betas]))
     assert once.discount < 1
-    assert np.isfinite(language_model.traverse(once, np.ones(1), np.ones(1), np.zeros(1))).all()
+    zero, one = np.zeros(1), np.ones(1)
+    assert np.isfinite(language_model.traverse(once, one, one, zero, zero, zero)).all()
+
+
+def test_failure_arcs_one_after_the_other():
+    """From a state of two words: its own arc, one failure, two failures, an unknown word."""
+    betas = language_model.BETAS
+    model = language_model.Smoothing(np.array([20.0, 5, 2, 1, 2, 6, 7, *betas, *betas]))
+    word, history = np.array([4.0, 4, 4, 0]), np.full(4, 3.0)
+    pair, context, triple = np.array([2.0, 2, 0, 0]), np.full(4, 2.0), np.array([1.0, 0, 0, 0])
+    root = model.root(word)
+    k1, k2 = 3 ** model.betas[0], 2 ** model.betas[1]
+    fail1, fail2 = k1 / (3 + k1), k2 / (2 + k2)
+    one = (2 + k1 * root[0]) / (3 + k1)
+    want = [(1 + k2 * one) / (2 + k2), fail2 * one, fail2 * fail1 * root[2], fail2 * fail1 * root[3]]
+    got = language_model.traverse(model, word, history, pair, context, triple)
+    assert 10**got == pytest.approx(want)
 
 
 def test_no_learning_text(spark):
