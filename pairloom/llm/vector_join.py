@@ -138,26 +138,35 @@ def join_intervals(
 
 
 def spanning_edges(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """Edges (row, column) that connect what ``links`` connects, at most rows plus columns."""
-    rows, cols = np.nonzero(links)
-    if not len(rows):
-        return []
-    n = links.shape[0]
-    other = cols if same else cols + n
-    top = np.arange(n if same else n + links.shape[1])
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    out = []
-    for row, col, end in zip(rows.tolist(), cols.tolist(), other.tolist(), strict=True):
-        x, y = find(row), find(end)
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            out.append((row, col))
+    """Edges (row, column) that connect what ``links`` connects, fewer than rows plus columns.
+
+    Breadth first, a whole level at a time: every row and column is looked through once, however
+    many links it has. With ``same`` rows and columns are the same vectors.
+    """
+    if same:
+        links = links | links.T
+    back = links.T
+    open_rows = links.any(1)
+    open_cols = open_rows if same else links.any(0)
+    out: list[tuple[int, int]] = []
+
+    def reached(table: np.ndarray, level: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = table[level]
+        new = np.flatnonzero(own.any(0) & unseen)
+        unseen[new] = False
+        return new, level[own[:, new].argmax(0)]
+
+    while open_rows.any():
+        level = np.array([open_rows.argmax()])
+        open_rows[level] = False
+        while len(level):
+            cols, rows = reached(links, level, open_cols)
+            out += zip(rows.tolist(), cols.tolist(), strict=True)
+            if same or not len(cols):
+                level = cols
+            else:
+                level, cols = reached(back, cols, open_rows)
+                out += zip(level.tolist(), cols.tolist(), strict=True)
     return out
 
 
