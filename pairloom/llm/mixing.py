@@ -25,6 +25,7 @@ GOLDEN = 1_327_217_885
 CELL_BITS = 21
 SLOTS_A_PIECE = 1 << 16
 DOCS_A_PIECE = 1 << 12
+COPIES_A_ROW = 1 << 12
 
 
 class Mix(NamedTuple):
@@ -32,7 +33,7 @@ class Mix(NamedTuple):
 
     sources: source, source_rank, weight, source_size, target, quota, n_blocks, n_slots
     schedule: slot, source_rank, turn, block, words (how many of the block's words it takes)
-    placed: doc_id, source_rank, bucket, place, size, begin (its first word in its stream)
+    placed: doc_id, source_rank, bucket, place, copy, size, begin (its first word in its stream)
     """
 
     sources: DataFrame
@@ -175,19 +176,41 @@ def mix_schedule(sources: DataFrame, block_words: int) -> DataFrame:
     )
 
 
+def _copies(groups: DataFrame) -> DataFrame:
+    """One row per copy of a group of equal rows (n); large groups are spread before that."""
+    few = groups.where(F.col("n") <= COPIES_A_ROW).withColumn("copy", F.lit(0).cast("long"))
+    pieces = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES_A_ROW).cast("long"))
+    many = groups.where(F.col("n") > COPIES_A_ROW).withColumn("copy", F.explode(pieces))
+    last = F.least(F.col("n"), F.col("copy") + COPIES_A_ROW) - 1
+    return few.unionByName(many.repartition("source_rank", "bucket", "place", "copy")).withColumn(
+        "copy", F.explode(F.sequence(F.col("copy"), last))
+    )
+
+
 def _placed(sizes: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
-    """Documents with their first word's position in the shuffled stream of their source."""
+    """Documents with their first word's position in the shuffled stream of their source.
+
+    Rows of one id, source and size are alike to the mix. They are placed as one, side by side,
+    so an id that many rows share, or a null one, is no more than its different sizes.
+    """
     of = sources.select(F.col("source").alias("_source"), "source_rank")
-    keyed = sizes.join(of, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id",
-        "source_rank",
-        "size",
-        F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).alias("bucket"),
-        F.xxhash64("doc_id", F.lit("order")).alias("_key"),
+    keyed = (
+        sizes.groupBy("doc_id", "source", "size")
+        .agg(F.count("*").alias("n"))
+        .join(of, F.col("source").eqNullSafe(F.col("_source")))
+        .select(
+            "doc_id",
+            "source_rank",
+            "size",
+            "n",
+            F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).alias("bucket"),
+            F.xxhash64("doc_id", F.lit("order")).alias("_key"),
+        )
     )
+    words = F.col("n") * F.col("size")
     carried = (
         keyed.groupBy("source_rank", "bucket")
-        .agg(F.sum("size").alias("_n"))
+        .agg(F.sum(words).alias("_n"))
         .withColumn(
             "_before",
             F.sum("_n").over(Window.partitionBy("source_rank").orderBy("bucket")) - F.col("_n"),
@@ -195,20 +218,20 @@ def _placed(sizes: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
         .drop("_n")
     )
     inside = Window.partitionBy("source_rank", "bucket").orderBy("_key", "doc_id", "size")
-    return (
+    groups = (
         keyed.withColumn("place", F.row_number().over(inside))
-        .withColumn(
-            "_upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        )
+        .withColumn("_upto", F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(carried, ["source_rank", "bucket"])
-        .select(
-            "doc_id",
-            "source_rank",
-            "bucket",
-            "place",
-            "size",
-            (F.col("_before") + F.col("_upto") - F.col("size")).alias("begin"),
-        )
+        .withColumn("_begin", F.col("_before") + F.col("_upto") - words)
+    )
+    return _copies(groups).select(
+        "doc_id",
+        "source_rank",
+        "bucket",
+        "place",
+        "copy",
+        "size",
+        (F.col("_begin") + F.col("copy") * F.col("size")).alias("begin"),
     )
 
 
@@ -258,6 +281,7 @@ def mixed_spans(mix: Mix) -> DataFrame:
         "source_rank",
         "bucket",
         "place",
+        "copy",
         "size",
         (first - begin).alias("from_word"),
         F.greatest(last - begin, first - begin).alias("to_word"),
@@ -269,7 +293,7 @@ def taken_words(mix: Mix) -> DataFrame:
     taken = F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("long")
     per = (
         mixed_spans(mix)
-        .groupBy("source_rank", "bucket", "place", "doc_id", "size")
+        .groupBy("source_rank", "bucket", "place", "copy", "doc_id", "size")
         .agg(taken.alias("taken"))
     )
     return per.join(mix.sources, "source_rank").select(

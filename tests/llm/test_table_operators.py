@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from pairloom.llm import quality, vector_join
+from pairloom.llm import mixing, quality, vector_join
 from pairloom.llm.components import components
 from pairloom.llm.mixing import mixed_spans, plan_mix, source_targets, taken_words
 from pairloom.llm.quality import score_documents, train_classifier
 from pairloom.llm.registry import LLM_ORACLE, LLM_QUERIES
-from pairloom.llm.vector_join import vector_links
+from pairloom.llm.vector_join import spanning_edges, vector_links
 from pairloom.llm.warc import fetch_records, frame_places, read_bundles, write_bundles
 from pairloom.session import materialize
 
@@ -81,6 +81,81 @@ def test_mix_takes_its_targets_and_repeats(spark):
         assert abs(share[r.source_rank] / sum(share.values()) - r.target / total) < 0.03
 
 
+def test_words_taken_of_each_document_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "DOCS_A_PIECE", 16)
+    monkeypatch.setattr(mixing, "COPIES_A_ROW", 7)
+    pick, block = random.Random(2), 16
+    rows = [(i, pick.randint(0, 90), pick.choice(["a", "a", "b", None])) for i in range(120)]
+    # A hot id, a hot null id, and one row many times over.
+    rows += [(7, pick.randint(0, 5), "a") for _ in range(60)]
+    rows += [(None, pick.randint(0, 5), "b") for _ in range(60)]
+    rows += [(500, 11, "b")] * 30
+    docs = spark.createDataFrame([(i, "w " * n, None, s, 0) for i, n, s in rows], DOCUMENT)
+    mix = taken_words(plan_mix(docs, block_words=block)).collect()
+    got = sorted(str((r.doc_id, r.source, r["size"], r.taken)) for r in mix)
+    ids = docs.select("doc_id").distinct().select(
+        "doc_id",
+        F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(-(-len(rows) // 16))).alias("bucket"),
+        F.xxhash64("doc_id", F.lit("order")).alias("key"),
+    )
+    order = {r.doc_id: (r.bucket, r.key) for r in ids.collect()}
+    sources, total = ["a", "b", None], sum(n for _, n, _ in rows)
+    size = [sum(n for _, n, s in rows if s == source) for source in sources]
+    stopped: dict[int, float] = {}
+    while True:
+        rest = [i for i in range(3) if i not in stopped]
+        level = (total - sum(stopped.values())) / sum(i + 1 for i in rest)
+        over = {i: 3.0 * size[i] for i in rest if level * (i + 1) > 3 * size[i]}
+        if not over:
+            break
+        stopped |= over
+    quota = [math.floor(stopped.get(i, level * (i + 1)) + 0.5) for i in range(3)]
+    blocks = [-(-n // block) for n in size]
+    slots = [q // n * b + -(-(q % n) // block) for q, n, b in zip(quota, size, blocks, strict=True)]
+    turns, upto = [0, 0, 0], [sum(slots[: i + 1]) for i in range(3)]
+    for slot in range(sum(slots)):
+        point = slot * mixing.GOLDEN % mixing.POINTS
+        turns[next(i for i in range(3) if point < math.floor(upto[i] / sum(slots) * mixing.POINTS))] += 1
+    want = []
+    for i, source in enumerate(sources):
+        # Idle slots and those at the end make the turns of each source 0 .. slots - 1.
+        assert abs(turns[i] - slots[i]) < 8
+        taken = collections.Counter()
+        for turn in range(slots[i]):
+            begin = turn % blocks[i] * block
+            words = min(block, quota[i] - turn // blocks[i] * size[i] - begin)
+            taken.update(w for w in range(begin, begin + words) if w < size[i])
+        place = 0
+        for doc, n, _ in sorted((r for r in rows if r[2] == source), key=lambda r: (*order[r[0]], r[1])):
+            want.append(str((doc, source, n, sum(taken[w] for w in range(place, place + n)))))
+            place += n
+    assert got == sorted(want)
+
+
+def test_spanning_edges_connect_what_links_connect():
+    pick = np.random.default_rng(3)
+
+    def classes(n, edges):
+        top = list(range(n))
+        for _ in range(n):
+            for x, y in edges:
+                top[x] = top[y] = min(top[x], top[y])
+        return top
+
+    for share in (0.0, 0.02, 0.1, 1.0):
+        links = pick.random((30, 20)) < share
+        edges = spanning_edges(links, False)
+        assert len(edges) <= 49 and all(links[e] for e in edges)
+        joined = classes(50, [(i, j + 30) for i, j in edges])
+        assert joined == classes(50, [(i, j + 30) for i, j in zip(*np.nonzero(links), strict=True)])
+        links = pick.random((30, 30)) < share
+        links = links | links.T
+        np.fill_diagonal(links, False)
+        edges = spanning_edges(links, True)
+        assert len(edges) <= 29 and all(links[e] for e in edges)
+        assert classes(30, edges) == classes(30, list(zip(*np.nonzero(links), strict=True)))
+
+
 def test_non_negative_risk_learns_from_positives():
     random_ = np.random.default_rng(0)
     good = random_.normal(0, 1, (600, 5))
