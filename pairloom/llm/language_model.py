@@ -193,11 +193,12 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
         columns["stats"] = pa.array([None] * n + [stats], pa.list_(pa.float64()))
         return pa.table(columns)
 
-    # Enough tasks that what one reads does not grow with the input.
+    # Neighbouring buckets share a task: what one reads neither grows with the input nor by chance.
     tasks = -(-buckets // BUCKETS_A_TASK)
     return (
-        asked.repartition(tasks, "bucket")
-        .groupBy("bucket")
+        asked.withColumn("task", F.expr(f"CAST(bucket DIV {BUCKETS_A_TASK} AS int)"))
+        .repartitionById(tasks, "task")
+        .groupBy("task", "bucket")
         .applyInArrow(
             summed,
             "bucket int, chunk long, " + "".join(f"{n} binary, " for n in names) + "stats array<double>",
