@@ -168,3 +168,33 @@ def test_score_mean_std(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "score double")
     assert tuple(metrics.score_mean_std(df, "score").first()) == (2.0, 1.0)
     assert tuple(metrics.score_mean_std(df.limit(0), "score").first()) == (0.0, 0.0)
+
+
+def test_packed_ngrams_and_their_fallback_match_brute_force():
+    from pairloom.operators import ngrams
+
+    rng = random.Random(7)
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))  # six of these need more than 64 bits
+    packed = []
+    for letters in ("ab", "abc de.,-0", wide):
+        p, r = (
+            ["".join(rng.choices(letters, k=rng.choice([0, 1, 5, 6, 7, 90]))) for _ in range(40)]
+            for _ in range(2)
+        )
+        codes, lengths = ngrams.CODES["char"](p + r)
+        packed.append(ngrams._packed_matches(codes, lengths, len(p), 6) is not None)
+        for unit, orders, split in (("char", 6, lambda t: "".join(t.split())), ("word", 4, ngrams.words_13a)):
+            found, n_p, _ = count_matches(pa.array(p), pa.array(r), orders, unit)
+            for i, (a, b) in enumerate(zip(map(split, p), map(split, r))):
+                assert n_p[i] == len(a)
+                for n in range(1, orders + 1):
+                    assert found[n - 1, i] == sum((grams(a, n) & grams(b, n)).values())
+    assert packed == [True, True, False]
+
+
+def test_13a_words_in_tasks_are_those_of_the_column(spark):
+    texts = ["a.b, c 1.5 x-y 2-3 <skipped>&amp;", " \x85(é)\u3000-\nz . , 7,", "", "!~`'", "..,, 1,.,2 -"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tokens_13a(F.col("t")).alias("w"))
+    from pairloom.operators.ngrams import words_13a
+
+    assert {r.t: r.w for r in rows.collect()} == {t: words_13a(t) for t in texts}
