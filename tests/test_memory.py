@@ -216,3 +216,26 @@ def test_lexical_table(spark, monkeypatch, part):
     queries = spark.createDataFrame([("x", "das buch unknown"), ("y", "")], "pair_id string, source string")
     said = {r["pair_id"]: r["prediction"] for r in lexicon.lexical_predict(table, queries).collect()}
     assert said == {"x": "the book unknown", "y": ""}
+
+
+def test_what_a_search_stores_does_not_grow_with_queries_times_blocks(spark, small_blocks, monkeypatch):
+    """Queries that share frequent words with every block leave at most a row a slice of the blocks."""
+    monkeypatch.setattr(nearest, "SLICES", 2, raising=False)
+    monkeypatch.setattr(nearest, "GROUP_QUERIES", 8, raising=False)
+    rng = random.Random(5)
+    lines = [" ".join(["the", "of", *rng.choices([f"w{i}" for i in range(90)], k=8)]) for _ in range(400)]
+    train = [(i + 1, line, "") for i, line in enumerate(lines)]
+    queries = [(f"q{i}", " ".join(rng.choices(lines[i].split(), k=6)) + f" own{i} the") for i in range(40)]
+    stored = {}
+    keep = nearest.materialize
+
+    def counted(df, label):
+        out = keep(df, label)
+        stored[label] = max(stored.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "materialize", counted)
+    best, sets = nearest.best_matches(*frames(spark, train, queries), [nearest.Wanted(0)])
+    got = {r.pair_id: r.rk for r in best.join(sets, ["gram_order", "query_key"]).collect()}
+    assert got == {k: v[1] for k, v in brute(train, queries).items()}
+    assert max(stored[x] for x in stored if x != "source-sets") <= 2 * len(queries)
