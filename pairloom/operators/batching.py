@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.functions.text import PAD, encode, is_truncated, language_code, words
+from pairloom.functions.text import MAX_TOKENS, PAD, encode, is_truncated, language_code, word_count, words
 from pairloom.operators.ranking import bucketed_rank
 
 BATCH = 8
@@ -38,16 +38,29 @@ def with_batches(df: DataFrame, size: int = BATCH) -> DataFrame:
     return df.withColumn("batch_id", F.floor(at / size)).withColumn("place", at % size)
 
 
-def padded(df: DataFrame, tokens: str, fill: str = PAD) -> DataFrame:
-    """Pad to the longest member of the batch; a window sees one batch only."""
-    batch = Window.partitionBy("split", "batch_id")
-    sized = df.withColumn("width", F.max(F.size(tokens)).over(batch))
-    return sized.withColumn(
+def encoded_size(text: Column, limit: int = MAX_TOKENS) -> Column:
+    """Number of entries that ``encode`` gives for a text."""
+    return F.least(word_count(text), F.lit(limit - 2)) + 2
+
+
+def with_width(df: DataFrame, size: Column) -> DataFrame:
+    """``width``: the largest ``size`` in the row's batch; a window sees one batch only."""
+    return df.withColumn("width", F.max(size).over(Window.partitionBy("split", "batch_id")))
+
+
+def pad(df: DataFrame, tokens: str, fill: str = PAD) -> DataFrame:
+    """Pad to ``width``."""
+    return df.withColumn(
         "padded",
         F.concat(tokens, F.array_repeat(F.lit(fill), F.col("width") - F.size(tokens))),
     )
 
 
+def padded(df: DataFrame, tokens: str, fill: str = PAD) -> DataFrame:
+    """Pad to the longest member of the batch."""
+    return pad(with_width(df, F.size(tokens)), tokens, fill)
+
+
 def length_batches(df: DataFrame, tokens: str, size: int = BATCH) -> DataFrame:
     """Batches of rows of about equal length, within each split.
 

@@ -312,3 +312,17 @@ def test_score_column_comes_along(spark):
     assert (got["a"]["score_mean"], got["a"]["score_std"], got["b"]["score_mean"]) == (1.0, 0.5, 0.0)
     plain = metrics.all_metrics(frame, ["run"]).collect()
     assert all(got[r["run"]][c] == r[c] for r in plain for c in ("bleu", "chrf", "n_segments"))
+
+
+def test_width_is_found_before_texts_are_encoded(spark):
+    from pairloom.operators import batching
+
+    texts = [None, "", " a ", "a b c", " ".join("x" * 126), " ".join("x" * 300), "a\u3000b\x85"] * 3
+    rows = [("s", i + 1, "en", t, t) for i, t in enumerate(texts)]
+    df = batching.with_batches(spark.createDataFrame(rows, "split string, rk long, lang string, source string, target string"))
+    early = batching.pad(
+        batching.encode_pairs(batching.with_width(df, batching.encoded_size(F.col("target")))), "label_tokens"
+    )
+    late = batching.padded(batching.encode_pairs(df), "label_tokens")
+    fields = ["rk", "width", "padded"]
+    assert early.select(*fields).orderBy("rk").collect() == late.select(*fields).orderBy("rk").collect()
