@@ -76,6 +76,12 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return token, history, text
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one by one: a row holds a chunk, so a task holds one decoded chunk at a time."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 def ngrams(
     token: np.ndarray, history: np.ndarray, drop_bits: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +111,7 @@ def requests(chunks: DataFrame, buckets: int) -> DataFrame:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 token, history, text = tokens(*chunk_bytes(row["data"], row["sizes"]))
                 learn = np.array(row["marks"], float)[text]
                 pairs, inner, triples = ngrams(token, history, low_bits)
@@ -139,10 +145,12 @@ def requests(chunks: DataFrame, buckets: int) -> DataFrame:
 def _totals(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Different keys, their summed counts, and the sums in the order of each asker."""
     asked = [unpack_sorted(k) for k in keys]
-    distinct, which = np.unique(np.concatenate(asked), return_inverse=True)
+    ends = np.cumsum([len(a) for a in asked])[:-1]
+    asked = np.concatenate(asked)
+    distinct, which = np.unique(asked, return_inverse=True)
+    del asked
     given = np.concatenate([unpack(c) for c in counts]).astype(np.float64)
     total = np.bincount(which, weights=given, minlength=len(distinct))
-    ends = np.cumsum([len(a) for a in asked])[:-1]
     return distinct, total, [pack(t.astype(np.uint64)) for t in np.split(total[which], ends)]
 
 
@@ -166,12 +174,14 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
         bucket = group.column("bucket")[0].as_py()
         chunk = group.column("chunk").to_pylist()
         given, found = [], []
-        for order in ORDERS:
+        for order in ORDERS:  # one after the other: of triples, the most, only the number is kept
             blobs = (group.column(c).to_pylist() for c in (order, f"{order}_counts"))
             distinct, total, answer = _totals(*blobs)
             given.append(answer)
-            found.append((distinct[total > 0], total[total > 0]))
-        (words, word_totals), (pairs, pair_totals), (triples, _) = found
+            learnt = total > 0
+            found.append((distinct[learnt], total[learnt]) if order != "triples" else learnt.sum())
+            del distinct, total, learnt
+        (words, word_totals), (pairs, pair_totals), n_triples = found
         stats = [
             float(word_totals.sum()),
             float(len(words)),
@@ -180,7 +190,7 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
             # As histories, the end of texts stands for their beginning: both occur once a text.
             float(word_totals[words == END].sum()),
             float(len(pairs)),
-            float(len(triples)),
+            float(n_triples),
             *_powers(word_totals).tolist(),
             *_powers(pair_totals[~ends_text(pairs, low_bits)]).tolist(),
         ]
@@ -281,7 +291,7 @@ def _scored(chunks: DataFrame, answered: DataFrame, buckets: int, smoothing: Smo
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 token, history, text = tokens(*chunk_bytes(row["data"], row["sizes"]))
                 found = sorted(row["answers"], key=lambda a: a["bucket"])
                 pairs, inner, triples = ngrams(token, history, low_bits)

@@ -50,3 +50,13 @@ def test_operators_run_where_workers_lack_the_package(tmp_path):
     )
     assert run.returncode == 0, run.stderr[-2000:]
     assert run.stdout.split()[-3:] == ["200"] * 3
+
+
+def test_language_model_decodes_one_chunk_at_a_time():
+    import pyarrow as pa
+
+    from pairloom.llm.language_model import rows_of
+
+    batch = pa.RecordBatch.from_pydict({"chunk": [1, 2, 3], "sizes": [[1], None, [2, 3]]})
+    assert next(iter(rows_of(batch))) == {"chunk": 1, "sizes": [1]}
+    assert list(rows_of(batch)) == batch.to_pylist()
