@@ -239,3 +239,36 @@ def test_what_a_search_stores_does_not_grow_with_queries_times_blocks(spark, sma
     got = {r.pair_id: r.rk for r in best.join(sets, ["gram_order", "query_key"]).collect()}
     assert got == {k: v[1] for k, v in brute(train, queries).items()}
     assert max(stored[x] for x in stored if x != "source-sets") <= 2 * len(queries)
+
+
+def test_overlaps_of_a_block_are_counted_in_runs(monkeypatch):
+    """Equal to all pairs, with several tiers, scores and runs, ties, and sets of over 255 grams."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearest, "RUN", 4)
+    rng = random.Random(3)
+    sources = [sorted(rng.sample(range(400), rng.choice([1, 3, 8, 20, 290]))) for _ in range(60)]
+    sources += sources[:10]
+    queries = [sorted(rng.sample(range(420), rng.choice([1, 4, 9, 25, 300]))) for _ in range(30)] + [sources[20]]
+    wanted = [nearest.Wanted(0), nearest.Wanted(1, 1, 0.5), nearest.Wanted(2, 1, 2.0, 0.3)]
+    ranks = rng.sample(range(1, 1000), len(sources))
+
+    def rows(sets, **columns):
+        columns["grams"] = pa.array(sets, pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+    for several in (0, 1):
+        tiers = [several * (rk > 400) for rk in ranks]
+        group = nearest._Group(rows(queries, query_key=[str(i) for i in range(len(queries))]), wanted)
+        for a, b in ((0, 30), (30, 70)):
+            group.meet(nearest._Index(rows(sources[a:b], tier=tiers[a:b], rk=ranks[a:b])))
+        for i, q in enumerate(queries):
+            for at, w in enumerate(wanted):
+                for last in range(several + 1):
+                    found = [
+                        (w.score(len({*q} & {*s}), len(q), len(s)), -rk)
+                        for s, rk, t in zip(sources, ranks, tiers) if {*q} & {*s} and t <= last
+                    ]
+                    best = max([f for f in found if f[0] >= w.floor], default=(0, 0))
+                    got = [(group.best[t][0][at, i], -group.best[t][1][at, i]) for t in range(last + 1)]
+                    assert max(got) == (pytest.approx(best[0]), best[1])
