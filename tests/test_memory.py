@@ -272,3 +272,22 @@ def test_overlaps_of_a_block_are_counted_in_runs(monkeypatch):
                     best = max([f for f in found if f[0] >= w.floor], default=(0, 0))
                     got = [(group.best[t][0][at, i], -group.best[t][1][at, i]) for t in range(last + 1)]
                     assert max(got) == (pytest.approx(best[0]), best[1])
+
+
+def test_blocks_are_bounded_and_hold_every_set_once():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2]), str(i), i % 3, i, [i] * rng.randint(1, 30)) for i in range(200)] + [(1, "big", 0, 999, [7] * 90)]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = ["gram_order", *nearest.SOURCE]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 67]), types)], names)
+        for i in range(0, len(rows), 67)
+    ]
+    blocks = [b for batch in nearest._blocks(iter(batches), 10, 60) for b in batch.to_pylist()]
+    found = [(b["gram_order"], *(h[c] for c in nearest.SOURCE)) for b in blocks for h in b["held"]]
+    assert sorted(found) == sorted(rows)
+    for b in blocks:
+        sizes = [len(h["grams"]) for h in b["held"]]
+        assert len(sizes) <= 10 and (sum(sizes) <= 60 or len(sizes) == 1)
