@@ -291,3 +291,22 @@ def test_blocks_are_bounded_and_hold_every_set_once():
     for b in blocks:
         sizes = [len(h["grams"]) for h in b["held"]]
         assert len(sizes) <= 10 and (sum(sizes) <= 60 or len(sizes) == 1)
+
+
+def test_the_lexical_table_is_not_stored_before_it_is_read(spark, monkeypatch):
+    """What is stored has no row per word pair, and the table can be read twice without its postings' name."""
+    stored, keep = {}, lexicon.materialize
+
+    def counted(df, label):
+        out = keep(df, label)
+        stored[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lexicon, "materialize", counted)
+    lines = [(str(i), " ".join(f"s{i}x{j}" for j in range(20)), " ".join(f"t{i}x{j}" for j in range(20))) for i in range(30)]
+    before = {t.name for t in spark.catalog.listTables()}
+    table = lexicon.lexical_table(spark.createDataFrame(lines, "pair_id string, source string, target string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert table.count() == 30 * 20 * 20 == table.count()
+    assert max(stored.values()) < 30 * 20 * 20
+    assert table.agg(F.max("prob")).first()[0] == pytest.approx(1 / 20)
