@@ -198,3 +198,40 @@ def test_13a_words_in_tasks_are_those_of_the_column(spark):
     from pairloom.operators.ngrams import words_13a
 
     assert {r.t: r.w for r in rows.collect()} == {t: words_13a(t) for t in texts}
+
+
+def test_a_text_of_several_pairs_is_cut_once(monkeypatch):
+    """Each line is the reference of one pair and the prediction of the next."""
+    from pairloom.operators import ngrams
+
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("ab .,-1!é& ", k=rng.choice([0, 5, 40]))) + f" w{i}" for i in range(60)]
+    seen = []
+    for unit, orders in (("word", 4), ("char", 6)):
+        cut = ngrams.CODES[unit]
+        monkeypatch.setitem(ngrams.CODES, unit, lambda texts, cut=cut: seen.extend(texts) or cut(texts))
+        split = ngrams.words_13a if unit == "word" else lambda t: "".join(t.split())
+        found, n_p, n_r = count_matches(pa.array(lines[:-1]), pa.array(lines[1:]), orders, unit)
+        for i, (a, b) in enumerate(zip(map(split, lines[:-1]), map(split, lines[1:]))):
+            assert (n_p[i], n_r[i]) == (len(a), len(b))
+            for n in range(1, orders + 1):
+                assert found[n - 1, i] == sum((grams(a, n) & grams(b, n)).values())
+    assert sorted(seen) == sorted(lines * 2)
+
+
+def test_words_of_a_slice_are_those_of_the_patterns():
+    from pairloom.operators import ngrams
+
+    rng = random.Random(9)
+    parts = ["a", "1", ".", ",", "-", " ", " ", "\x1c", "&quot;", "&lt;", "<skipped>", "-\n", "\n", "é", "!", "'", "\\"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+
+    def plain(text):
+        for found, put in ngrams.LITERALS_13A:
+            text = text.replace(found, put)
+        text = f" {text} "
+        for pattern, put in ngrams._PATTERNS:
+            text = pattern.sub(put, text)
+        return text.split()
+
+    assert [t.split() for t in ngrams._spaced(texts)] == [plain(t) for t in texts]
