@@ -60,8 +60,9 @@ def window_names(data: np.ndarray) -> np.ndarray:
     factor, width = np.uint64(0xD6E8FEB86659FD93), 1
     with np.errstate(over="ignore"):
         while width < GRAM:
-            h = h[:-width] * factor + h[width:]
-            factor, width = factor * factor, width * 2
+            grams = h[:-width] * factor
+            grams += h[width:]
+            h, factor, width = grams, factor * factor, width * 2
     least, width = kernels.mix(h), 1
     while width * 2 <= GRAMS:
         least = np.minimum(least[:-width], least[width:])
@@ -166,31 +167,22 @@ def shared_strings(row: dict, drop: int):
     distinct, which = np.unique(names, return_inverse=True)
     keep = np.flatnonzero(shared[which] > 0) if len(distinct) else np.zeros(0, np.int64)
     names, first, count, text = names[keep], first[keep], count[keep], text[keep]
-    ids, raw = _ids(row), data.tobytes()
-    place: dict[bytes, int] = {}
-    least: list[int] = []
-    named: list[int] = []
-    string = []
-    for name, begin, n, doc in zip(
-        names.tolist(), first.tolist(), count.tolist(), ids[text].tolist(), strict=True
-    ):
-        i = place.setdefault(raw[begin : begin + n + LENGTH - 1], len(least))
-        if i == len(least):
-            least.append(doc)
-            named.append(name)
-        elif doc < least[i]:
-            least[i] = doc
-        string.append(i)
+    raw = data.tobytes()
+    ends = (first + count + (LENGTH - 1)).tolist()
+    every = [raw[begin:end] for begin, end in zip(first.tolist(), ends, strict=True)]
+    different = {t: i for i, t in enumerate(dict.fromkeys(every))}
+    string = np.fromiter(map(different.__getitem__, every), np.int64, len(every))
+    least = np.full(len(different), NO_ID)
+    np.minimum.at(least, string, _ids(row)[text])
+    named = np.zeros(len(different), np.uint64)
+    named[string] = names
     # Equal strings have equal names, and a chunk meets its strings in the same order each time.
-    order = np.argsort(np.array(named, np.uint64), kind="stable")
+    order = np.argsort(named, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    texts = list(place)
-    ordered = [(named[i], texts[i]) for i in order.tolist()]
-    return (
-        data, at, ordered, [least[i] for i in order.tolist()], first, count, text,
-        rank[np.array(string, np.int64)],
-    )
+    texts = list(different)
+    texts = [texts[i] for i in order.tolist()]
+    return data, at, named[order], texts, least[order], first, count, text, rank[string]
 
 
 def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -199,16 +191,15 @@ def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, strings, least, *_ = shared_strings(row, drop)
-                names = np.array([s[0] for s in strings], np.uint64)
+                _, _, names, strings, least, *_ = shared_strings(row, drop)
                 ends = bucket_ends(names, buckets * RANGES).reshape(buckets, RANGES)
                 begin, cells = 0, [[], [], [], [], [], []]
                 for bucket in range(buckets):
                     end = int(ends[bucket, -1])
                     if end > begin:
-                        own = [s[1] for s in strings[begin:end]]
+                        own = strings[begin:end]
                         sizes = np.array([len(s) for s in own], np.uint64)
-                        ids = np.array(least[begin:end], np.int64).view(np.uint64)
+                        ids = least[begin:end].view(np.uint64)
                         ranges = np.diff(ends[bucket], prepend=begin).astype(np.uint64)
                         values = (
                             bucket, row["chunk"], zstandard.compress(b"".join(own), 1),
@@ -232,10 +223,11 @@ def _string_requests(chunks: DataFrame, buckets: int) -> DataFrame:
 
 def eight_bytes(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one number in byte order; zeros past the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + len(data)]
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    out = np.empty(n, np.uint64)
+    for i in range(min(8, n)):  # places 8 bytes apart are one number after the other
+        out[i::8] = np.frombuffer(padded, ">u8", (n - i + 7) // 8, i)
     return out
 
 
@@ -249,7 +241,7 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
     """
     n = len(data)
     keys = eight_bytes(data)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # equal keys get one rank, so their order is free
     fresh = np.ones(n, bool)
     fresh[1:] = keys[order[1:]] != keys[order[:-1]]
     starts = np.flatnonzero(fresh)
@@ -266,7 +258,7 @@ def suffix_order(data: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.
         ahead = at + step
         further = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         pair = (rank[at].astype(np.uint64) << np.uint64(32)) | further.astype(np.uint64)
-        moved = np.argsort(pair, kind="stable")
+        moved = np.argsort(pair)
         order[slots], pair = at[moved], pair[moved]
         differs = np.ones(len(slots), bool)
         differs[1:] = pair[1:] != pair[:-1]
@@ -294,14 +286,22 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
     open_at = np.flatnonzero(before >= 0)
     for done in range(0, most, 8):
         differ = words[open_at + done] ^ words[before[open_at] + done]
-        equal = sum((differ >> np.uint64(64 - 8 * b) == 0).astype(np.int64) for b in range(1, 8))
-        length[open_at] = np.minimum(done + equal + (differ == 0), most)
-        open_at = open_at[differ == 0]
+        same = differ == 0
+        equal = np.where(same, 8, 0)
+        unlike, at = differ[~same], np.flatnonzero(~same)
+        for width in (4, 2, 1):  # leading bytes that are zero, by halves
+            clear = unlike >> np.uint64(64 - 8 * width) == 0
+            equal[at] += clear * width
+            unlike = np.where(clear, unlike << np.uint64(8 * width), unlike)
+        length[open_at] = np.minimum(done + equal, most)
+        open_at = open_at[same]
     return length[order]
 
 
-def shard_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different windows of a shard in order, the smallest id of each, and each window's place.
+def shard_groups(
+    strings: list[bytes], ids: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's bytes, a place of each different window in order, its smallest id, and each window's number.
 
     Windows are taken string by string; those across a border of two strings are not windows.
     """
@@ -315,11 +315,21 @@ def shard_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np
     order, _ = suffix_order(data)
     group = np.empty(len(data), np.int64)
     group[order] = np.cumsum(common_prefixes(data, order) < LENGTH)
-    distinct, place = np.unique(group[at], return_inverse=True)
-    least = np.full(len(distinct), NO_ID)
+    group = group[at]
+    present = np.zeros(len(data) + 1, bool)
+    present[group] = True
+    place = (np.cumsum(present) - 1)[group]
+    distinct = int(np.count_nonzero(present))
+    least = np.full(distinct, NO_ID)
     np.minimum.at(least, place, owner)
-    shown = np.zeros(len(distinct), np.int64)
+    shown = np.zeros(distinct, np.int64)
     shown[place] = at
+    return data, shown, least, place
+
+
+def shard_windows(strings: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different windows of a shard in order, the smallest id of each, and each window's place."""
+    data, shown, least, place = shard_groups(strings, ids)
     texts = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[shown]
     return np.ascontiguousarray(texts).view(f"V{LENGTH}").ravel(), least, place
 
@@ -341,6 +351,9 @@ def smallest_ids(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
             begin, size = i, 0
         size += len(string)
     shards.append((begin, len(strings)))
+    if len(shards) == 1:  # nothing to merge, so no window is written out
+        _, _, own, place = shard_groups(strings, np.array(ids, np.int64))
+        return np.split(own[place], np.cumsum([len(s) - LENGTH + 1 for s in strings])[:-1])
     merged, least = np.zeros(0, f"S{LENGTH + 1}"), np.zeros(0, np.int64)
     parts = []
     for begin, end in shards:
@@ -408,12 +421,12 @@ def _string_answers(asked: DataFrame) -> DataFrame:
 
 def removed_bytes(row: dict, drop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's bytes, the offsets of its texts, and which bytes go."""
-    data, at, strings, _, first, count, text, string = shared_strings(row, drop)
+    data, at, _, strings, _, first, count, text, string = shared_strings(row, drop)
     marks = np.zeros(len(data) + 1, np.int64)
     if len(first):
         found = sorted(row["judged"], key=lambda a: a["bucket"])
         least = np.concatenate([unpack_sorted(a["least"]) for a in found]).view(np.int64)
-        windows = np.array([len(s[1]) - LENGTH + 1 for s in strings])
+        windows = np.array([len(s) - LENGTH + 1 for s in strings])
         begins = np.cumsum(windows) - windows
         nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(first, count) + nth

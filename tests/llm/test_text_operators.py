@@ -435,3 +435,20 @@ def test_no_learning_text(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
     rows = score_texts(spark.createDataFrame([(i, "a b") for i in held], SCHEMA)).collect()
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(0, 0, 0.0, 0.0)}
+
+
+def test_one_shard_is_not_merged(monkeypatch):
+    """A single shard writes no window out; its ids are those of merged shards and of brute force."""
+    rng = random.Random(3)
+    texts = list({"".join(rng.choices("ab", k=3)) * 20 + "x" * rng.randint(0, 9) for _ in range(60)})
+    strings, ids = [t.encode() for t in texts], [rng.randint(0, 40) for _ in texts]
+    least = {}
+    for s, i in zip(strings, ids):
+        for at in range(len(s) - 49):
+            least[s[at : at + 50]] = min(i, least.get(s[at : at + 50], i))
+    want = [[least[s[at : at + 50]] for at in range(len(s) - 49)] for s in strings]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 200)
+    assert [x.tolist() for x in suffix_dedup.smallest_ids(strings, ids)] == want
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1 << 20)
+    monkeypatch.setattr(suffix_dedup, "_sortable", None)
+    assert [x.tolist() for x in suffix_dedup.smallest_ids(strings, ids)] == want
