@@ -316,14 +316,14 @@ def test_finds_are_not_stored_and_only_copies_meet(spark, small_blocks, monkeypa
     """Of equal sources the lowest rank is in a block; what blocks find is read once, not stored."""
     train = [(i + 1, f"w{i % 30} x{i % 30} common", f"t{i}") for i in range(120)]
     queries = [(f"q{i}", f"w{i} own{i} common") for i in range(20)]
-    stored = {}
+    stored = []
     keep = nearest.materialize
-    monkeypatch.setattr(nearest, "materialize", lambda df, label: stored.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(nearest, "materialize", lambda df, label: stored.append((label, keep(df, label))) or stored[-1][1])
     sources, asked = frames(spark, train, queries)
     best, sets = nearest.best_matches(sources, asked, [nearest.Wanted(0)])
     got = {r.pair_id: r.rk for r in best.join(sets, ["gram_order", "query_key"]).collect()}
     assert got == {k: v[1] for k, v in brute(train, queries).items()}
-    assert "visited" not in stored
-    assert all(name.endswith(".zstd.parquet") for df in stored.values() for name in df.inputFiles())
+    assert "visited" not in {label for label, _ in stored}
+    assert all(name.endswith(".zstd.parquet") for _, df in stored for name in df.inputFiles())
     held = nearest.source_sets(sources, (1,), []).selectExpr("explode(held.rk) AS rk")
     assert sorted(r.rk for r in held.collect()) == list(range(1, 31))
