@@ -327,3 +327,37 @@ def test_finds_are_not_stored_and_only_copies_meet(spark, small_blocks, monkeypa
     assert all(name.endswith(".zstd.parquet") for _, df in stored for name in df.inputFiles())
     held = nearest.source_sets(sources, (1,), []).selectExpr("explode(held.rk) AS rk")
     assert sorted(r.rk for r in held.collect()) == list(range(1, 31))
+
+
+def test_a_group_leaves_no_row_that_an_earlier_tier_beats(monkeypatch):
+    """Overlaps are counted for a few queries at a time; rows are those that raise the best so far."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(60), rng.choice([2, 5, 9]))) for _ in range(90)]
+    queries = [sorted(rng.sample(range(70), rng.choice([3, 6]))) for _ in range(23)] + [sorted(rng.sample(range(400), 300))]
+
+    def rows(of, **columns):
+        columns["grams"] = pa.array(of, pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+    def scores(i, tier):
+        a = {*queries[i]}
+        return [(len(a & {*s}) / len(a | {*s}), -rk) for rk, s in enumerate(sets, 1) if rk <= 30 * (tier + 1)]
+
+    expected = {}
+    for i in range(len(queries)):
+        before = 0
+        for tier in range(3):
+            score, back = max(scores(i, tier))
+            if score > before:
+                expected[str(i), tier] = score, -back
+            before = max(before, score)
+    for run, counted in ((4, 1), (8, 700), (128, 1 << 20)):
+        monkeypatch.setattr(nearest, "RUN", run)
+        monkeypatch.setattr(nearest, "COUNTED", counted)
+        group = nearest._Group(rows(queries, query_key=[str(i) for i in range(len(queries))]), [nearest.Wanted(0)])
+        group.meet(nearest._Index(rows(sets, tier=[(rk - 1) // 30 for rk in range(1, 91)], rk=list(range(1, 91)))))
+        found = [row for batch in group.rows(1) for row in batch.to_pylist()]
+        got = {(r["query_key"], r["tier"]): (pytest.approx(r["score"]), r["rk"]) for r in found}
+        assert len(found) == len(got) and got == expected
