@@ -177,3 +177,41 @@ def test_scan_moves_rows_once(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     assert scan(spark.range(0).withColumn("k", F.lit(1)), ["k"], ["id"], {}).count() == 0
+
+
+def test_rows_of_no_rank_asked_for_do_not_move(spark, monkeypatch):
+    """Ranks are those of all rows; of 400 only those of a few buckets reach the window."""
+    from pairloom.operators import ranking
+
+    whole = splits.exact_split(corpus(spark, 400))
+    for ranks in ({"train": 30, "val": None}, {"val": 3, "test": 2}, {"train": 1000}, {"test": None}):
+        some = splits.exact_split(corpus(spark, 400), ranks=ranks)
+        asked = [(F.col("split") == s) & (F.lit(n is None) | (F.col("rk") <= (n or 0))) for s, n in ranks.items()]
+        expected = whole.where(asked[0] | asked[-1])
+        assert some.exceptAll(expected).count() == expected.exceptAll(some).count() == 0
+    seen = []
+    monkeypatch.setattr(
+        splits, "bucketed_rank", lambda *a, **k: seen.append(ranking.bucketed_rank(*a, **k)) or seen[-1]
+    )
+    splits.exact_split(corpus(spark, 400), ranks={"train": 30, "val": None})
+    assert 70 <= seen[0].count() < 80
+
+
+def test_a_sweep_reads_what_its_sizes_ask_for(spark, tmp_path, monkeypatch):
+    from pairloom.plans import queries, sweeps
+
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.col("id") % 9), lambda i: F.concat(F.lit("line "), i)))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), text.alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    whole = queries.line_corpus(spark, str(tmp_path))
+    n_val = whole.where("split = 'val'").count()
+    for sizes, last in (((5, 9), 14), ((5, 900), 700)):
+        monkeypatch.setattr(sweeps, "DATA_SIZES", sizes)
+        monkeypatch.setattr(sweeps, "LAST_SIZE", last)
+        some = queries.sweep_corpus(spark, str(tmp_path))
+        expected = whole.where(f"split = 'val' OR split = 'train' AND rk <= {max(*sizes, last)}")
+        assert some.exceptAll(expected).count() == expected.exceptAll(some).count() == 0
+        whole_sizes, sizes_ = (
+            sweeps.sweep_sizes(c.where("split = 'train'").count(), sizes, last) for c in (whole, some)
+        )
+        assert whole_sizes == sizes_ and some.where("split = 'val'").count() == n_val > 0
