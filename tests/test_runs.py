@@ -326,3 +326,16 @@ def test_width_is_found_before_texts_are_encoded(spark):
     late = batching.padded(batching.encode_pairs(df), "label_tokens")
     fields = ["rk", "width", "padded"]
     assert early.select(*fields).orderBy("rk").collect() == late.select(*fields).orderBy("rk").collect()
+
+
+def test_texts_of_a_sweep_are_counted_in_several_tasks_a_core(spark, monkeypatch):
+    memory = spark.createDataFrame([(i + 1, f"w{i} common words", f"t{i}") for i in range(20)],
+                                   "rk long, source string, target string")
+    queries = spark.createDataFrame([(f"q{i}", f"w{i} common words", f"t{i}") for i in range(30)],
+                                    "pair_id string, source string, target string")
+    tasks = []
+    stats = sweeps.segment_stats
+    monkeypatch.setattr(sweeps, "segment_stats", lambda df, *a: tasks.append(df.rdd.getNumPartitions()) or stats(df, *a))
+    swept = sweeps.scaling_sweep(memory, queries, [(1, 5), (2, 20)]).orderBy("run_seq").collect()
+    assert [r["n_matched"] for r in swept] == [30, 30]
+    assert tasks == [4 * spark.sparkContext.defaultParallelism]
