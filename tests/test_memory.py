@@ -361,3 +361,115 @@ def test_a_group_leaves_no_row_that_an_earlier_tier_beats(monkeypatch):
         found = [row for batch in group.rows(1) for row in batch.to_pylist()]
         got = {(r["query_key"], r["tier"]): (pytest.approx(r["score"]), r["rk"]) for r in found}
         assert len(found) == len(got) and got == expected
+
+
+def _held(sets, **columns):
+    import pyarrow as pa
+
+    grams = pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))
+    return pa.StructArray.from_arrays([*(pa.array(c) for c in columns.values()), grams], [*columns, "grams"])
+
+
+def _word_sets(random_state, n, words=400):
+    """Sets of gram hashes, frequent and rare; some are near copies of the one before."""
+    out = []
+    for _ in range(n):
+        if out and random_state.random() < 0.1:
+            out.append(set(list(out[-1])[: max(1, len(out[-1]) - 1)]) | {random_state.randrange(words)})
+        else:
+            size = random_state.choice([1, 2, 5, 12, 30, 300])
+            out.append({int(words * random_state.random() ** 3) for _ in range(size)})
+    return out
+
+
+@pytest.mark.parametrize("sent", [0, 2])
+def test_a_block_is_sent_to_a_worker_once_for_all_its_groups(sent):
+    import pyarrow as pa
+
+    random_state = random.Random(11)
+    sources, queries = _word_sets(random_state, 60), _word_sets(random_state, 30)
+    rows = []
+    for number in range(2):
+        part = sources[30 * number : 30 * number + 30]
+        ranks = list(range(30 * number + 1, 30 * number + 31))
+        held = _held(part, tier=pa.array([0] * 30, pa.int32()), rk=ranks).to_pylist()
+        for group in range(3):
+            names = [str(i) for i in range(10 * group, 10 * group + 10)]
+            asked = _held(queries[10 * group : 10 * group + 10], query_key=names).to_pylist()
+            rows.append({"block": number, "sources": held if group == sent else None, "group": group, "queries": asked})
+    batch = pa.RecordBatch.from_pylist(rows)
+    wanted = [nearest.Wanted(0), nearest.Wanted(1, 1, 0.5, 0.3)]
+    found = {}
+    for out in nearest._meetings(iter([batch.slice(0, 2), batch.slice(2)]), 1, wanted):
+        found.update({(r["query_key"], r["key"]): (r["score"], r["rk"]) for r in out.to_pylist()})
+    for w in wanted:
+        for i, q in enumerate(queries):
+            scored = [(w.score(len(q & s), len(q), len(s)), -rk) for rk, s in enumerate(sources, 1) if q & s]
+            best = max((s for s in scored if s[0] >= w.floor), default=None)
+            assert found.get((str(i), w.key)) == (best and (best[0], -best[1]))
+
+
+@pytest.mark.parametrize("dense", [3, 64])
+def test_queries_with_a_bound_do_not_count_their_frequent_grams(monkeypatch, dense):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearest, "RUN", 8)
+    monkeypatch.setattr(nearest, "DENSE", dense)
+    random_state = random.Random(5)
+    sources, queries = _word_sets(random_state, 600), _word_sets(random_state, 200)
+    wanted = [nearest.Wanted(0), nearest.Wanted(1, 1, 0.5, 0.4), nearest.Wanted(2, 1, 2.0, 0.3)]
+    spared, by_lists = [], []
+    left_out, meet_lists = nearest._Index.left_out, nearest._Group._meet_lists
+
+    def noted(self, *rest):
+        level, number = left_out(self, *rest)
+        spared.append(int(number.sum()))
+        return level, number
+
+    def noted_lists(self, block, asked, *rest):
+        by_lists.append(len(asked))
+        return meet_lists(self, block, asked, *rest)
+
+    monkeypatch.setattr(nearest._Index, "left_out", noted)
+    monkeypatch.setattr(nearest._Group, "_meet_lists", noted_lists)
+    for some in (wanted, wanted[1:]):
+        for tiers in (1, 3):
+            group = nearest._Group(_held(queries, query_key=[str(i) for i in range(len(queries))]), some)
+            for a in range(0, 600, 150):
+                tier = [i % tiers for i in range(150)]
+                group.meet(nearest._Index(_held(sources[a : a + 150], tier=pa.array(tier, pa.int32()), rk=list(range(a + 1, a + 151)))))
+            for at, w in enumerate(some):
+                for i, q in enumerate(queries):
+                    # Scores of a tier are kept where none of the tiers before beats them.
+                    best, before = {}, 0.0
+                    for t in range(tiers):
+                        scored = [
+                            (w.score(len(q & s), len(q), len(s)), -(rk + 1))
+                            for rk, s in enumerate(sources) if q & s and (rk % 150) % tiers == t
+                        ]
+                        top = max((s for s in scored if s[0] >= w.floor), default=None)
+                        if top and top[0] > before:
+                            best[t], before = top, top[0]
+                    found = {}
+                    for t, (score, rank) in group.best.items():
+                        if score[at][i] > max([0.0, *(v[0] for k, v in found.items() if k < t)]):
+                            found[t] = (score[at][i], -rank[at][i])
+                    assert found == best
+    assert sum(by_lists) if dense == 3 else sum(spared)
+    assert np.array_equal(nearest._order(np.array([5, 4, 5, -1])), [3, 1, 0, 2])
+
+
+def test_grams_are_cut_alike_in_all_slices(spark, monkeypatch):
+    texts = ["a b a b", None, " ", "b a\tc", "a b", "c"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "pair_id long, source string").coalesce(1)
+    monkeypatch.setattr(nearest, "TEXT_BYTES", 8)
+    sets = {(r["pair_id"], r["gram_order"]): r["grams"] for r in nearest.gram_sets(rows, ["pair_id"], "source", (1, 2)).collect()}
+    of = {}
+    for (i, n), grams in sets.items():
+        words = texts[i].split()
+        expected = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+        assert grams == sorted(set(grams)) and len(grams) == len(expected)
+        assert of.setdefault(frozenset(expected), grams) == grams
+    assert len(sets) == sum(len(t.split()) >= n for t in texts if t for n in (1, 2))
+    assert len({tuple(g) for g in of.values()}) == len(of)
