@@ -473,3 +473,11 @@ def test_grams_are_cut_alike_in_all_slices(spark, monkeypatch):
         assert of.setdefault(frozenset(expected), grams) == grams
     assert len(sets) == sum(len(t.split()) >= n for t in texts if t for n in (1, 2))
     assert len({tuple(g) for g in of.values()}) == len(of)
+
+
+def test_postings_are_stored_with_zstandard(spark):
+    pairs = spark.createDataFrame([("p", "a b", "c d"), ("q", "a", "d")], "pair_id string, source string, target string")
+    postings, _, name = lexicon._postings(pairs)
+    files = postings.inputFiles()
+    assert postings.count() == 3 and files and all(f.endswith(".zstd.parquet") for f in files)
+    spark.sql(f"DROP TABLE `{name}`")
